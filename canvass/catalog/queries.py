@@ -665,12 +665,11 @@ def evaluation_job(spark, sf_dir):
     return bundle.select("n", *[r9(m[f]).alias(f) for f in METRIC_FIELDS], m["timestamp"].alias("timestamp"))
 
 
-def _train_part(spark, sf_dir, folds: int = 0) -> tuple[encoding.EncoderModel, DataFrame]:
-    parts = splitting.stratified_split(labelled(spark, sf_dir), KEY)
-    encoder = encoding.fit_encoder(parts)
+def _train_part(spark, sf_dir) -> tuple[encoding.EncoderModel, DataFrame]:
+    rows = labelled(spark, sf_dir)
+    parts = splitting.stratified_split(rows, KEY)
+    encoder = encoding.fit_encoder(rows)
     train = encoder.transform(parts.where(F.col("part") == "train"), keep=[KEY, "label"])
-    if folds:
-        train = splitting.stratified_folds(train, KEY, folds=folds)
     return encoder, materialize(train, "train")
 
 
@@ -744,8 +743,8 @@ SMALL_GRID = grid.Grid(max_depth=(2, 4), min_leaf=(1, 8), min_split=(2, 50))
 @query
 def grid_search(spark, sf_dir):
     """Cross-validated scores of 32 candidates on 3 folds of the training part."""
-    encoder, train = _train_part(spark, sf_dir, folds=3)
-    scores, _ = grid.search(train, *jobs.split_kinds(encoder), SMALL_GRID, folds=3)
+    encoder, train = _train_part(spark, sf_dir)
+    scores, _ = grid.search(train, KEY, *jobs.split_kinds(encoder), SMALL_GRID, folds=3)
     ranked = grid.candidate_table(spark, SMALL_GRID).join(grid.rank_candidates(scores), "candidate")
     return rounded(ranked, "mean_test_score", "std_test_score", "mean_train_score", "std_train_score")
 

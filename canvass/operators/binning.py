@@ -41,8 +41,12 @@ class Layout:
         rows += [(code_number(start + i, 1), name, 0.5) for i, name in enumerate(self.indicators)]
         return small_table(spark, rows, "code int, feature string, threshold double")
 
+    @property
+    def first_indicator_code(self) -> int:
+        return code_number(len(self.numeric), 0)
+
     def is_indicator(self, code: Column) -> Column:
-        return code >= code_number(len(self.numeric), 0)
+        return code >= self.first_indicator_code
 
 
 def code_number(feature: int, bin_number: int) -> int:

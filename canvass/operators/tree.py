@@ -60,15 +60,12 @@ class Forest:
     settings: list[TreeSetting] = field(default_factory=list)
 
 
-def _impurity(criterion: Column, a: Column, b: Column) -> Column:
-    """Weighted size times impurity of a node with class weights a and b."""
-    s = a + b
-    gini = s - (a * a + b * b) / s
+def _impurity(a: str, b: str) -> str:
+    """SQL of size times impurity of a node with class weights a and b."""
+    def term(x: str) -> str:
+        return f"if({x} > 0, -{x} * log2({x} / ({a} + {b})), 0D)"
 
-    def term(x: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / s)).otherwise(0.0)
-
-    return F.when(s <= 0, 0.0).when(criterion == "gini", gini).otherwise(-(term(a) + term(b)))
+    return f"if(criterion = 'gini', {a} + {b} - ({a} * {a} + {b} * {b}) / ({a} + {b}), {term(a)} + {term(b)})"
 
 
 def grow_trees(
@@ -79,25 +76,42 @@ def grow_trees(
     label: str = "label",
     fold: str | None = None,
     folds: int = 0,
-    max_depth: int | None = None,
-    min_split: int = 2,
     max_bins: int = MAX_BINS,
     layout: Layout | None = None,
+    **limits,
 ) -> Forest:
     """Grow one tree per setting (and per fold, leaving that fold out for validation).
 
-    Deterministic: ties go to the first feature and the lowest threshold.  ``layout``
-    fixes the candidate splits; by default they come from ``df``.
+    ``layout`` fixes the candidate splits; by default they come from ``df``.  ``limits``
+    are ``max_depth`` and ``min_split``.
     """
-    spark = df.sparkSession
     layout = layout or make_layout(df, numeric, indicators, max_bins)
+    keep = [F.col(label).alias("label"), *([F.col(fold).alias("fold")] if fold else [])]
+    return grow_coded(code_rows(df, layout, keep), layout, settings, folds, **limits)
+
+
+def grow_coded(
+    coded: DataFrame,
+    layout: Layout,
+    settings: Sequence[TreeSetting],
+    folds: int = 0,
+    max_depth: int | None = None,
+    min_split: int = 2,
+) -> Forest:
+    """``grow_trees`` from rows of (label, codes), and (fold) when ``folds`` are left out.
+
+    Deterministic: ties go to the first feature and the lowest threshold.
+    """
+    spark = coded.sparkSession
     depth_limit = DEPTH_CAP if max_depth is None else min(max_depth, DEPTH_CAP)
-    keep = [F.col(label).cast("int").alias("label")]
-    keep.append((F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"))
-    base = materialize(code_rows(df, layout, keep), "tree-rows")
+    fold_number = F.col("fold") if folds else F.lit(-1)
+    base = materialize(
+        coded.select(F.col("label").cast("int").alias("label"), fold_number.cast("int").alias("fold"), "codes"),
+        "tree-rows",
+    )
 
     # One root cell per fold, or a single one.  Class counts are folds x 2 numbers.
-    cells = list(range(folds)) if fold else [0]
+    cells = list(range(folds)) if folds else [0]
     sizes = {(r["fold"], r["label"]): r["count"] for r in base.groupBy("fold", "label").count().collect()}
     held = {c: [sizes.get((c, y), 0) for y in (0, 1)] for c in cells}
     classes = [sum(n for (_, y), n in sizes.items() if y == wanted) for wanted in (0, 1)]
@@ -112,7 +126,7 @@ def grow_trees(
         for s in settings:
             w = [sum(n) / (2 * k) if s.balanced and k else 1.0 for k in n]
             trees.append(dict(
-                tree=len(trees), fold=c if fold else None, criterion=s.criterion,
+                tree=len(trees), fold=c if folds else None, criterion=s.criterion,
                 balanced=s.balanced, min_leaf=s.min_leaf, w0=w[0], w1=w[1],
             ))
             roots.append((len(roots), 1, c, 0, None, *n, *held[c], s.criterion, s.min_leaf, *map(float, w)))
@@ -124,29 +138,17 @@ def grow_trees(
         "v0 bigint, v1 bigint, criterion string, min_leaf int, w0 double, w1 double",
     )
 
-    def splittable(nodes: DataFrame) -> DataFrame:
-        return nodes.where(
-            (F.col("n0") > 0) & (F.col("n1") > 0)
-            & (F.col("n0") + F.col("n1") >= min_split) & (F.col("depth") < depth_limit)
-        )
-
-    open_nodes, found = splittable(root_rows), []
+    splittable = F.expr(f"n0 > 0 AND n1 > 0 AND n0 + n1 >= {min_split} AND depth < {depth_limit}")
+    open_nodes, found = root_rows.where(splittable), []
     for depth in range(depth_limit):
         # Every level is written: its plan does not grow with the depth, a lost executor
         # repeats one level at most, and joins see the true size of the node tables.
         splits = materialize(_best_splits(rows, open_nodes, layout), f"tree-splits-{depth}")
         found.append(splits)
-        open_nodes = splittable(_children(splits))
-        key = F.struct(F.col("parent_cell").alias("cell"), "code", "goes_left")
-        routes = open_nodes.groupBy(F.col("cell").alias("child")).agg(
-            F.min(key).alias("way"), (F.min(key) != F.max(key)).alias("clash")
-        ).select("child", "way.*", "clash")
-        n, clashes = routes.agg(F.count("*"), F.count_if("clash")).first()
-        if n == 0:
+        open_nodes = _children(splits).where(splittable)
+        if depth == depth_limit - 1 or open_nodes.isEmpty():
             break
-        if clashes:
-            raise RuntimeError("two tree regions got the same 64-bit number")
-        rows = materialize(_route(rows, routes, layout), f"tree-routed-{depth}")
+        rows = materialize(_route(rows, _routes(open_nodes), layout), f"tree-routed-{depth}")
 
     node_columns = ["tree", "node", "depth", "parent_n", *_COUNTS, "w0", "w1"]
     nodes = root_rows.select(*node_columns)
@@ -178,22 +180,21 @@ def _best_splits(rows: DataFrame, open_nodes: DataFrame, layout: Layout) -> Data
     upto = Window.partitionBy("cell", "place").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     running = hist.select("cell", "code", *[F.sum(c).over(upto).alias(c) for c in kinds])
     # A set indicator goes right, so its left side is the rest of the node.
-    indicator = layout.is_indicator(F.col("code"))
-    left = [
-        F.when(indicator, F.col(n) - F.col(h)).otherwise(F.col(h)).alias(f"l_{n}") for n, h in zip(_COUNTS, kinds)
-    ]
+    first = layout.first_indicator_code
+    left = [f"if(code >= {first}, {n} - {h}, {h}) AS l_{n}" for n, h in zip(_COUNTS, kinds)]
     node = ["tree", "node", "cell", "depth", *_COUNTS, *_SETTING]
-    candidates = running.join(open_nodes.select(*node), "cell").select(*node, "code", *left)
-    l0, l1 = F.col("l_n0"), F.col("l_n1")
-    r0, r1 = F.col("n0") - l0, F.col("n1") - l1
-    w0, w1 = F.col("w0"), F.col("w1")
-    cost = _impurity(F.col("criterion"), l0 * w0, l1 * w1) + _impurity(F.col("criterion"), r0 * w0, r1 * w1)
-    allowed = candidates.where((l0 + l1 >= F.col("min_leaf")) & (r0 + r1 >= F.col("min_leaf")))
-    pick = F.struct("code", *[f"l_{n}" for n in _COUNTS])
+    candidates = (
+        running.join(open_nodes.select(*node), "cell")
+        .selectExpr(*node, "code", *left)
+        .where("l_n0 + l_n1 >= min_leaf AND n0 + n1 - l_n0 - l_n1 >= min_leaf")
+    )
+    sides = ("l_n0 * w0", "l_n1 * w1"), ("(n0 - l_n0) * w0", "(n1 - l_n1) * w1")
+    cost = " + ".join(_impurity(f"({a})", f"({b})") for a, b in sides)
+    pick = ", ".join(f"l_{n}" for n in _COUNTS)
     return (
-        allowed.withColumn("cost", cost)
+        candidates.selectExpr("*", f"{cost} AS cost")
         .groupBy(*node)
-        .agg(F.min_by(pick, F.struct("cost", "code")).alias("best"))
+        .agg(F.expr(f"min_by(struct(code, {pick}), struct(cost, code))").alias("best"))
         .select(*node, "best.*")
     )
 
@@ -214,6 +215,19 @@ def _children(splits: DataFrame) -> DataFrame:
     return splits.select("tree", *_SETTING, F.explode(pair).alias("c")).select("tree", *_SETTING, "c.*")
 
 
+def _routes(open_nodes: DataFrame) -> DataFrame:
+    """(cell, code, goes_left, child) for every child some tree goes on with.
+
+    Cells are 64-bit hashes of the way to them; should two ways ever meet in one number,
+    the job fails instead of mixing their rows.
+    """
+    way = F.struct(F.col("parent_cell").alias("cell"), "code", "goes_left")
+    ways = open_nodes.groupBy(F.col("cell").alias("child")).agg(F.min(way).alias("way"), F.max(way).alias("other"))
+    message = F.raise_error(F.lit("two tree regions got the same 64-bit number"))
+    one_way = F.when(F.col("way") == F.col("other"), F.col("child")).otherwise(message.cast("bigint"))
+    return ways.select("way.*", one_way.alias("child"))
+
+
 def _route(rows: DataFrame, routes: DataFrame, layout: Layout) -> DataFrame:
     """Move rows into the child cells; rows of finished cells drop out.
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from canvass.operators.binning import MAX_BINS
 from canvass.operators.encoding import EncoderModel, fit_encoder, load_encoder
 from canvass.operators.evaluation import metrics_bundle
 from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search
 from canvass.operators.projection import labelled
-from canvass.operators.splitting import stratified_folds, stratified_split
+from canvass.operators.splitting import stratified_split
 from canvass.operators.tree import TreeSetting, grow_trees, load_tree, node_table, save_tree, score, truncate
 from canvass.operators.validation import accepted, check, quarantined
 from canvass.session import materialize
@@ -67,7 +68,7 @@ def train_and_select(
     fit_on: str = "all",
     model_name: str = DEFAULT_MODEL_NAME,
     timestamp: str | None = None,
-    **limits,
+    max_bins: int = MAX_BINS,
 ) -> Training:
     """Encode, split, search the grid by cross-validated ROC-AUC, refit, test.
 
@@ -77,15 +78,14 @@ def train_and_select(
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on is 'all' or 'train'")
     grid = grid or Grid()
-    parts = stratified_split(labelled(df, spec), spec.key, share=test_share, seed=seed)
-    encoder = fit_encoder(parts if fit_on == "all" else parts.where(F.col("part") == "train"), spec)
-    keep = [spec.key, "label", "part"]
-    # Written once: the search and the refit read it again and again.
-    encoded = materialize(encoder.transform(parts, keep=keep), "encoded")
+    usable = labelled(df, spec)
+    parts = stratified_split(usable, spec.key, share=test_share, seed=seed)
+    encoder = fit_encoder(usable if fit_on == "all" else parts.where(F.col("part") == "train"), spec)
+    # Written once: the search, the refit and the test read it again and again.
+    encoded = materialize(encoder.transform(parts, keep=[spec.key, "label", "part"]), "encoded")
     train = encoded.where(F.col("part") == "train")
     numeric, indicators = split_kinds(encoder)
-    folded = stratified_folds(train, spec.key, folds=folds, seed=seed)
-    scores, forest = search(folded, numeric, indicators, grid, folds=folds, **limits)
+    scores, forest = search(train, spec.key, numeric, indicators, grid, folds=folds, seed=seed, max_bins=max_bins)
     ranked = materialize(rank_candidates(scores), "candidates")
     winner = best_candidate(ranked).first()["candidate"]
     best = next(c for c in grid.candidates() if c["candidate"] == winner)

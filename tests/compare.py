@@ -47,8 +47,8 @@ def differences(spark, con, name, fn, sql, sf_dir, limit=4):
         return f"columns {mine[0]} against {theirs[0]}"
     if mine[1] == theirs[1]:
         return ""
-    extra = [r for r in mine[1] if r not in set(theirs[1])][:limit]
-    lacking = [r for r in theirs[1] if r not in set(mine[1])][:limit]
+    left, right = set(mine[1]), set(theirs[1])
+    extra, lacking = sorted(left - right)[:limit], sorted(right - left)[:limit]
     return f"{len(mine[1])} rows against {len(theirs[1])}\n   only Spark {extra}\n   only SQL {lacking}"
 
 
