@@ -7,6 +7,8 @@ A line is compared trimmed and in lower case; lines without a visible character
   seeds the hash nearest to the seed (in XOR order) is kept, a MinHash sample.  Each sample is
   a bucket key of its own: long shingles are rare enough for one-row bands, and at the
   threshold, where about half of the long shingles agree, 2^-KEYS of the pairs share no key.
+* Where a bucket does not end up in one component, its lines are compared by prefixes: two lines
+  of the wanted similarity share one of the first elements of their sets, the rarest first.
 * Candidates are verified exactly: Jaccard similarity of the sets of 5-character shingles (a
   shorter line is one shingle) of at least ``percent``.
 * Classes are joined to components; one line of each component stays: the first by document
@@ -24,6 +26,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from canvass.llm.linking import link
 from canvass.llm.sieve import bitmap, marked
@@ -98,17 +101,25 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
     keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in range(KEYS)])
     members = store.put(classes.select(F.explode(keys).alias("key"), "id"), "members")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "id", "left_semi").select("id", "first.*")
+        return store.put(_texts_of(texts, wanted, store).select("id", shingles(F.col("plain")).alias("s")), "sets")
+
+    def refine(ids: DataFrame) -> DataFrame:
+        parts = store.put(sets_of(ids).select("id", F.size("s").alias("n"), F.explode("s").alias("part")), "parts")
+        rarity = store.put(parts.groupBy("part").agg(F.count("*").alias("held")), "rarity")
+        size = F.col("n") + 1 - F.ceil(F.col("n") * percent / 100)
+        first = parts.join(rarity, "part").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("held", "part")))
+        return first.where(F.col("place") <= size).select(F.xxhash64("part").alias("key"), "id", "n", (F.col("place") - 1).alias("place"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        named = store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
-        wanted = classes.join(named, "id", "left_semi").select("id", "first.*")
-        sets = _texts_of(texts, wanted, store).select("id", shingles(F.col("plain")).alias("s"))
-        sets = store.put(sets, "sets")
+        sets = sets_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         sized = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return sized.where(100 * F.col("common") >= percent * (F.col("all") - F.col("common"))).select("a", "b")
 
-    roots = store.put(link(members, verify, store), "roots")
+    roots = store.put(link(members, percent, verify, refine, store), "roots")
     joined = classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", "id", "first", "times", F.coalesce("root", "id").alias("root"), F.col("node").isNotNull().alias("linked"))
     joined = store.put(joined.where("linked OR times > 1"), "joined")
@@ -120,7 +131,7 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
 
 
 def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents with the repeated lines cut out, and ``n_lines``, ``n_removed``."""
+    """All documents with the repeated lines cut out, and ``n_lines``, ``n_removed`` (columns of these names are replaced)."""
     store = Store(documents.sparkSession, "lines-out")
     gone = store.put(removed_lines(documents, percent, id_col, text_col), "removed")
     bits = store.put(bitmap(gone.select("__doc")), "bits")
@@ -133,6 +144,6 @@ def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id",
     hit = hit.withColumns({"__total": total, "__lost": F.when(F.col("removed").isNull(), 0).otherwise(lost).cast("long"),
                            "__new": F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(cut)})
     missed = rows.where("NOT __hit").withColumns({"__total": total, "__lost": F.lit(0).cast("long"), "__new": F.col(text_col)})
-    kept = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in documents.columns]
+    kept = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
     counts = [F.col("__total").alias("n_lines"), F.col("__lost").alias("n_removed")]
     return hit.select(*kept, *counts).unionByName(missed.select(*kept, *counts))

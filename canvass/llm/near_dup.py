@@ -9,6 +9,10 @@
   population count of the XOR of two sketches estimates how many samples differ.  A candidate
   is dropped only if its estimate lies more than six standard deviations below the threshold.
 * All other candidates are verified on the full sets, recomputed from the texts.
+* Where a bucket does not end up in one component, its members are compared by prefixes: two sets
+  of the wanted similarity share one of their ``n - ceil(percent / 100 * n) + 1`` first elements in
+  any common order.  The order is by frequency, counted in ``CELLS`` cells, so its size is fixed;
+  in a crowd of half-similar texts the first elements are what each has alone.
 
 Null or blank text: empty set.  Repeated rows of a document are one document.  A null
 ``doc_id`` is kept apart: its component is null and it is kept.  Columns besides ``doc_id`` and
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.linking import link
+from canvass.llm.sieve import bitmap, marked
 from canvass.llm.store import Store
 from canvass.llm.words import U64, Words, mix, signed, slices, words_of
 
@@ -34,6 +39,7 @@ BANDS, ROWS, SKETCH_BITS = 24, 4, 512
 SAMPLES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SAMPLES, dtype=U64) * U64(2) + U64(1)
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+CELLS = 1 << 20
 #: Shingles per step, so that the arrays stay in a core's cache.
 BLOCK = 1 << 16
 
@@ -127,6 +133,34 @@ def _similar(percent: int):
     return run
 
 
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            codes = np.concatenate(shingle_sets(words_of(batch.column(1).slice(a, b - a), "lower")))
+            cells, n = np.unique(codes % U64(CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(n)], names=["cell", "n"])
+
+
+def _prefixes(percent: int, frequency):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = frequency.value
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for a, b in slices(texts):
+                keys, owners, sizes, places = [], [], [], []
+                for i, s in enumerate(shingle_sets(words_of(texts.slice(a, b - a), "lower"))):
+                    size = len(s) + 1 - -(-percent * len(s) // 100)
+                    order = np.lexsort((s, counts[(s % U64(CELLS)).astype(np.int64)]))[:size]
+                    keys.append(s[order])
+                    owners.append(np.full(len(order), ids[a + i], np.int64))
+                    sizes.append(np.full(len(order), len(s), np.int64))
+                    places.append(np.arange(len(order)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (owners, sizes, places))], names=["key", "id", "n", "place"])
+
+    return run
+
+
 def differing(x: Column, y: Column) -> Column:
     """Bits in which two sketches differ."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
@@ -166,19 +200,46 @@ def near_duplicates(documents: DataFrame, percent: int = 85, id_col: str = "doc_
         near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing(F.col("sa"), F.col("sb")) <= sketch_limit(percent))
         return both.where(near).select("a", "b")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        near = marked(texts, "doc_id", store.put(bitmap(ids), "bits")).where("__hit").select("doc_id", "text")
+        return store.put(near.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    def refine(ids: DataFrame) -> DataFrame:
+        wanted = texts_of(ids)
+        cells = wanted.mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(CELLS, np.int64)
+        frequency[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        return wanted.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(frequency)), "key long, id long, n long, place long")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = store.put(texts.join(store.put(named, "named"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+        wanted = texts_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
         return (
             pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long")
         )
 
-    roots = store.put(link(store.put(members, "members"), verify, store, admissible), "components")
+    roots = store.put(link(store.put(members, "members"), percent, verify, refine, store, admissible), "components")
     named = classes.select("set_a", "set_b", "id").join(roots, F.col("id") == F.col("node"), "left")
     named = store.put(named.select("set_a", "set_b", F.coalesce("root", "id").alias("root")), "classed")
     out = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_one(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all columns: that of the smallest id.
+
+    Rows equal in id count as one.  Documents without words, and those with a null id, are kept.
+    """
+    store = Store(documents.sparkSession, "near-out")
+    found = store.put(near_duplicates(documents, percent, id_col, text_col).select("doc_id", "kept"), "found")
+    gone = store.put(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    bits = store.put(bitmap(gone.union(again)), "bits")
+    rows = marked(documents, id_col, bits)
+    # A null id has a place in the bitmap like any other, but equals none.
+    hit = rows.where("__hit").join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(documents.columns)
+    kept = hit.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return kept.unionByName(hit.where(F.col(id_col).isNull())).unionByName(rows.where("NOT __hit").select(documents.columns))
