@@ -305,3 +305,10 @@ def encode_decode(documents: DataFrame, path: str | None = None, id_col: str = "
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string"
     return rows.mapInArrow(_coded(path or public_tokenizers.path(MODEL)), schema)
+
+
+def digests(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and decoded texts."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode_decode(documents, path, id_col, text_col).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import chat, decontaminate, fuzzy_lines, main_text, near_dup, pieces, quality, shards, substrings
+from canvass.llm import chat, decontaminate, fuzzy_lines, lm_score, main_text, near_dup, pieces, quality, shards, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,12 +75,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.encode_decode(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+    return pieces.digests(table(spark, sf_dir, "documents"))
 
 
 @query
