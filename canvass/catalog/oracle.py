@@ -381,7 +381,10 @@ UNION ALL SELECT 'Random', CAST(point_no AS INT), CAST(v AS DOUBLE), CAST(v AS D
 SELECT 'PR Curve' AS series, CAST(row_number() OVER (ORDER BY k DESC) - 1 AS INT) AS point_no, round(recall, 9) AS x, round("precision", 9) AS y FROM pts"""
     s["metrics_table"] = f"{with_runs} SELECT created, " + ", ".join(f"printf('%.4f', {q(m)}) AS {q(m)}" for m in METRICS) + " FROM runs ORDER BY created_at DESC LIMIT 100"
     s["stream_refresh"] = s["metrics_table"]
-    s["run_significance"] = f"{with_runs}, c AS (SELECT created, tn + tp AS correct, tn + fp + fn + tp AS n FROM runs ORDER BY created_at DESC LIMIT 100) SELECT created, correct, n, {TESTED} FROM c"
+    s["roc_long_continuous"] = f"""WITH pts AS ({s['roc_points_continuous']}) SELECT 'ROC Curve' AS series, threshold, fpr AS x, tpr AS y FROM pts
+ UNION ALL SELECT 'Random', NULL, v, v FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(v)"""
+    s["pr_long_continuous"] = f"WITH pts AS ({s['pr_points_continuous']}) SELECT 'PR Curve' AS series, threshold, recall AS x, precision AS y FROM pts"
+    s["run_significance"] = f"{with_runs}, c AS (SELECT created, tn + tp AS correct, tn + fp + fn + tp AS n FROM runs) SELECT created, correct, n, {TESTED} FROM c"
     s["score_text"] = f"""{with_scored} SELECT contact_id, CASE WHEN prediction = 1 THEN 'SÍ' ELSE 'NO' END AS answer, printf('%.4f', p) AS probability_text,
  concat(printf('%.2f', p * 100), '%') AS percent_text FROM scored"""
     s["text_functions"] = f"""{with_contacts} SELECT contact_id, printf('%.4f', duration / 5e3) AS four, printf('%.2f', duration / 5e3 * 100) AS percent,
@@ -399,6 +402,7 @@ SELECT 'PR Curve' AS series, CAST(row_number() OVER (ORDER BY k DESC) - 1 AS INT
 FROM contacts, params"""
     s["scoring_job"] = FIXED_HISTORY
     s["stream_scoring"] = FIXED_HISTORY
+    s["mixed_history"] = f"WITH one AS ({FIXED_HISTORY}) SELECT contact_id, prediction, probability_text, class_name, 3 * count(*) AS n FROM one GROUP BY ALL"
     s["evaluation_job"] = f"""{with_parts}, {SCALER}, {PARAMS}, held AS (SELECT y AS label, p, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM (SELECT y, {FIXED_P} AS p FROM parts, params WHERE part = 'test')),
 {curve('held')}, m AS ({matrix('held')}), a AS (SELECT {AREA} AS auc FROM cum)
 SELECT tn + fp + fn + tp AS n, {SCALARS}, round(auc, 9) AS auc_roc, '2024-01-01 00:00:00' AS timestamp FROM m, a"""

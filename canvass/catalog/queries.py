@@ -55,7 +55,7 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("week", text.week_start(F.col("contact_ts")))
     # Nine possible scores.
     bundle = evaluation.metrics_bundle(
-        rows, by=["week"], model_name="scorecard", timestamp=text.timestamp_text(F.col("week")), few_scores=True
+        rows, by=["week"], model_name="scorecard", timestamp=text.timestamp_text(F.col("week")), few_scores=True, curves="arrays"
     )
     return store.metrics_records(bundle, "week")
 
@@ -133,7 +133,7 @@ def pr_points_continuous(spark, sf_dir):
 @query
 def metrics_bundle(spark, sf_dir):
     bundle = evaluation.metrics_bundle(
-        scored(spark, sf_dir), by=["contact"], timestamp="2024-01-01 00:00:00", few_scores=True
+        scored(spark, sf_dir), by=["contact"], timestamp="2024-01-01 00:00:00", few_scores=True, curves="arrays"
     )
     m, report = F.col("metrics"), F.col("metrics.classification_report")
 
@@ -565,6 +565,25 @@ def pr_long(spark, sf_dir):
     return rounded(reports.pr_long(weekly(spark, sf_dir)), "x", "y")
 
 
+def _long_curve(spark, sf_dir, curve):
+    """A run with about as many curve points as records, its points kept as rows."""
+    rows = smooth(spark, sf_dir)
+    runs = store.metrics_records(evaluation.metrics_bundle(rows, timestamp=""))
+    runs = materialize(runs, "runs")
+    points = evaluation.curve_rows(rows).crossJoin(F.broadcast(runs.select("id")))
+    return rounded(reports.curves_long(runs, points, curve), "threshold", "x", "y")
+
+
+@query
+def roc_long_continuous(spark, sf_dir):
+    return _long_curve(spark, sf_dir, "roc")
+
+
+@query
+def pr_long_continuous(spark, sf_dir):
+    return _long_curve(spark, sf_dir, "pr")
+
+
 @query
 def metrics_table(spark, sf_dir):
     return reports.metrics_table(weekly(spark, sf_dir))
@@ -813,6 +832,22 @@ def stream_scoring(spark, sf_dir):
     )
 
 
+@query
+def mixed_history(spark, sf_dir):
+    """A batch job and two streams, the second with a new checkpoint, append to one history."""
+    base = scratch_path(spark, "mixed-history")
+    source, target = os.path.join(base, "requests"), os.path.join(base, "history")
+    model = fixed_model(spark, sf_dir)
+    requests = tables.raw_requests(tables.contacts(spark, sf_dir))
+    requests.repartition(2).write.json(source)
+    jobs.scoring_job(tables.read_requests(spark, source), model, target)
+    for name in ("first", "second"):
+        streams.stream_scoring(
+            spark, source, model, target, os.path.join(base, "quarantine"), os.path.join(base, name), once=True
+        ).awaitTermination()
+    return store.read_history(spark, target).groupBy(KEY, "prediction", "probability_text", "class_name").agg(F.count("*").alias("n"))
+
+
 @query
 def stream_refresh(spark, sf_dir):
     """Metric documents arrive; the refreshed printable table is read back."""

@@ -21,9 +21,11 @@ _DIGITS = ("_d1", "_d2", "_d3")
 
 
 def order_digits(value: Column) -> list[Column]:
-    """Three integers whose lexicographic order is the order of the (finite) doubles."""
+    """Three integers whose lexicographic order is the order of the doubles (NaN apart)."""
     x = value.cast("double")
-    magnitude = F.abs(x)
+    endless = F.abs(x) == float("inf")
+    # Infinite values get a first digit beyond all others.
+    magnitude = F.when(endless, F.lit(1.0)).otherwise(F.abs(x))
     # Rounding in log2 may move a value next to a power of two into the neighbour
     # bucket; it never changes the order, and the mantissa below stays exact.
     exponent = F.least(F.floor(F.log2(magnitude)), F.lit(1023))
@@ -36,7 +38,8 @@ def order_digits(value: Column) -> list[Column]:
     def signed(digit: Column) -> Column:
         return F.when(x == 0, F.lit(0).cast("bigint")).when(x < 0, -digit).otherwise(digit)
 
-    return [signed((exponent + 1080) * int(_TOP) + top), signed(middle), signed(low)]
+    first = F.when(endless, F.lit(1 << 40)).otherwise((exponent + 1080) * int(_TOP) + top)
+    return [signed(first), signed(middle), signed(low)]
 
 
 def running_totals(

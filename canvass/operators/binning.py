@@ -24,7 +24,9 @@ class Layout:
     """Numbering of (feature, bin).
 
     Numeric features come first; the code of feature i always sits at place i of a row's
-    code array.  An indicator has one code, present in the array when it is set.
+    code array.  Its last bin holds missing values (null or NaN), which go right at every
+    threshold; the threshold "infinity" parts them from all others.  An indicator has one
+    code, present in the array when it is set.
     """
 
     numeric: tuple[tuple[str, tuple[float, ...]], ...]  # name, ascending thresholds
@@ -35,7 +37,7 @@ class Layout:
         rows = [
             (code_number(i, b), name, float(t))
             for i, (name, thresholds) in enumerate(self.numeric)
-            for b, t in enumerate(thresholds)
+            for b, t in enumerate((*thresholds, float("inf")))
         ]
         start = len(self.numeric)
         rows += [(code_number(start + i, 1), name, 0.5) for i, name in enumerate(self.indicators)]
@@ -70,7 +72,7 @@ def candidate_thresholds(
     shares = [(i + 0.5) / max_bins for i in range(max_bins)]
     stats = df.agg(
         *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{c}") for c in columns],
-        *[F.percentile_approx(F.col(f"`{c}`"), shares, 10_000).alias(f"q_{c}") for c in columns],
+        *[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")), shares, 10_000).alias(f"q_{c}") for c in columns],
     ).first()
     # The distinct counts are estimates: columns near the limit are counted exactly.
     small = [c for c in columns if stats[f"d_{c}"] <= 2 * max_bins]
@@ -88,11 +90,17 @@ def candidate_thresholds(
 def make_layout(
     df: DataFrame, numeric: Sequence[str], indicators: Sequence[str], max_bins: int = MAX_BINS
 ) -> Layout:
-    if not 2 <= max_bins < 1 << _SHIFT:
-        raise ValueError(f"max_bins must be from 2 to {(1 << _SHIFT) - 1}")
+    if not 2 <= max_bins < (1 << _SHIFT) - 1:
+        raise ValueError(f"max_bins must be from 2 to {(1 << _SHIFT) - 2}")
     found = candidate_thresholds(df, numeric, max_bins) if numeric else {}
-    # A constant column offers no split.
-    return Layout(tuple((n, found[n]) for n in numeric if found[n]), tuple(indicators))
+    # A constant column offers no split, unless some of its values are missing.
+    lacking = df.agg(*[F.bool_or(missing(n)).alias(n) for n in numeric]).first() if numeric else {}
+    return Layout(tuple((n, found[n]) for n in numeric if found[n] or lacking[n]), tuple(indicators))
+
+
+def missing(name: str) -> Column:
+    value = F.col(f"`{name}`").cast("double")
+    return value.isNull() | F.isnan(value)
 
 
 def code_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFrame:
@@ -105,7 +113,7 @@ def code_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFram
     out, codes = df, []
     if layout.numeric:
         out = df.select(
-            "*", *[(-F.col(f"`{name}`")).alias(f"_neg{i}") for i, (name, _) in enumerate(layout.numeric)]
+            "*", *[F.when(~missing(name), -F.col(f"`{name}`").cast("double")).alias(f"_neg{i}") for i, (name, _) in enumerate(layout.numeric)]
         )
         out = Bucketizer(
             inputCols=[f"_neg{i}" for i in range(len(layout.numeric))],
@@ -114,14 +122,16 @@ def code_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFram
                 [float("-inf"), *[-t for t in reversed(thresholds)], float("inf")]
                 for _, thresholds in layout.numeric
             ],
+            handleInvalid="keep",
         ).transform(out)
         codes = [
-            F.lit(code_number(i, len(thresholds))) - F.col(f"_bin{i}").cast("int")
-            for i, (_, thresholds) in enumerate(layout.numeric)
+            F.when(missing(name), F.lit(code_number(i, len(thresholds) + 1)))
+            .otherwise(F.lit(code_number(i, len(thresholds))) - F.col(f"_bin{i}").cast("int"))
+            for i, (name, thresholds) in enumerate(layout.numeric)
         ]
     start = len(layout.numeric)
     present = [
         F.when(F.col(f"`{name}`") > 0.5, F.lit(code_number(start + i, 1)))
         for i, name in enumerate(layout.indicators)
     ]
-    return out.select(*keep, F.array_compact(F.array(*codes, *present)).alias("codes"))
+    return out.select(*keep, F.concat(F.array(*codes), F.array_compact(F.array(*present))).cast("array<int>").alias("codes"))

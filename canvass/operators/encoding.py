@@ -209,7 +209,7 @@ def fit_encoder(df: DataFrame, spec: FeatureSpec = CAMPAIGN, exact: bool = True)
 
 
 def load_encoder(spark: SparkSession, path: str, spec: FeatureSpec = CAMPAIGN) -> EncoderModel:
-    """A missing path raises Spark's ``AnalysisException``."""
+    """All that was saved; a missing path raises Spark's ``AnalysisException``."""
     scaler = spark.read.parquet(os.path.join(path, "scaler_params"))
     words = spark.read.parquet(os.path.join(path, "vocab"))
-    return _model(spec, scaler.collect(), words.limit(MAX_CATEGORIES).collect())
+    return _model(spec, scaler.collect(), words.collect())

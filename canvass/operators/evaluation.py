@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from canvass.functions.ordered import null_safe_join, running_totals
 from canvass.spec import DEFAULT_MODEL_NAME, METRICS_STRUCT
 
-MAX_CURVE_POINTS = 10_000
-
 
 def confusion(
     df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
@@ -98,11 +96,13 @@ def score_totals(
 ) -> DataFrame:
     """One row per segment and distinct score with the running counts from the top.
 
+    Rows without a label, and those whose score is null or NaN, are left out.
+
     Columns: ``threshold``, ``pos``/``neg`` at the score, ``*_before`` above it,
     ``*_total`` of the segment, ``points`` distinct scores (``points_before`` numbers them).
     """
     counts = (
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(*by, F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
         .withColumn("points", F.lit(1).cast("bigint"))
@@ -207,15 +207,16 @@ def metrics_bundle(
     model_name: str = DEFAULT_MODEL_NAME,
     timestamp: Column | str | None = None,
     few_scores: bool = False,
-    max_curve_points: int = MAX_CURVE_POINTS,
+    curves: str = "rows",
 ) -> DataFrame:
     """One row per segment with the nested ``metrics`` document.
 
-    Curve arrays are embedded for segments with at most ``max_curve_points`` distinct
-    scores.  A longer curve would be an unbounded value in one row: there the arrays are
-    null, ``curve_points`` says how many there are, and :func:`roc_points` and
-    :func:`pr_points` give all of them as rows.
+    ``curves="arrays"`` embeds the curves, all points of them, and is meant for scores that
+    take few values.  With ``"rows"`` the arrays are null whatever the data, and
+    :func:`curve_rows` gives all points as rows.  ``curve_points`` counts distinct scores.
     """
+    if curves not in ("arrays", "rows"):
+        raise ValueError("curves is 'arrays' or 'rows'")
     by = list(by)
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(1))
@@ -234,13 +235,18 @@ def metrics_bundle(
         totals = score_totals(source, label, score, keys, few_scores)
         auc = auc_from_totals(totals, keys)
         length = totals.groupBy(*keys).agg(F.max("points_total").alias("curve_points"))
-        short = totals.where(F.col("points_total") <= max_curve_points)
-        roc = _curve_arrays(roc_from_totals(short, keys), keys, "roc_curve", "fpr", "tpr", ascending=False)
-        pr = _curve_arrays(
-            pr_from_totals(short, keys), keys, "precision_recall_curve", "precision", "recall", ascending=True
-        )
-        for part in (auc.select(*keys, "auc_roc"), length, roc, pr):
+        parts = [auc.select(*keys, "auc_roc"), length]
+        if curves == "arrays":
+            parts.append(_curve_arrays(roc_from_totals(totals, keys), keys, "roc_curve", "fpr", "tpr", ascending=False))
+            parts.append(_curve_arrays(
+                pr_from_totals(totals, keys), keys, "precision_recall_curve", "precision", "recall", ascending=True
+            ))
+        for part in parts:
             bundle = null_safe_join(bundle, part, keys, how="left")
+        if curves == "rows":
+            bundle = bundle.withColumns({
+                c: F.lit(None).cast(METRICS_STRUCT[c].dataType) for c in ("roc_curve", "precision_recall_curve")
+            })
         bundle = bundle.fillna({"auc_roc": 0.0, "curve_points": 0})
     structs, accuracy = _class_entries()
     report = F.map_from_entries(
@@ -275,5 +281,20 @@ def metrics_bundle(
     )
 
 
+def curve_rows(
+    df: DataFrame, label: str = "label", score: str = "p", by: Sequence[str] = (), few_scores: bool = False
+) -> DataFrame:
+    """All points of both curves: ``by``, ``curve`` (roc, pr), ``threshold``, ``x``, ``y``.
+
+    A point's place in its curve is that of its threshold, falling for roc and rising for pr; the
+    null threshold starts the one and ends the other.
+    """
+    totals = score_totals(df, label, score, by, few_scores)
+    roc, pr = roc_from_totals(totals, by), pr_from_totals(totals, by)
+    return roc.select(*by, F.lit("roc").alias("curve"), "threshold", F.col("fpr").alias("x"), F.col("tpr").alias("y")).unionByName(
+        pr.select(*by, F.lit("pr").alias("curve"), "threshold", F.col("recall").alias("x"), F.col("precision").alias("y"))
+    )
+
+
 def class_distribution(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, label).agg(F.count("*").alias("n"))

@@ -69,6 +69,23 @@ def pr_long(history: DataFrame, tie: str = "id") -> DataFrame:
     return _points(history, "precision_recall_curve", "recall", "precision", "PR Curve", tie)
 
 
+def curves_long(history: DataFrame, points: DataFrame, curve: str, tie: str = "id") -> DataFrame:
+    """Points of the newest run from a table of curve rows keyed by run id.
+
+    The long form of :func:`roc_long` and :func:`pr_long` for curves of any length; points are
+    placed by ``threshold``, and nothing is gathered or numbered in one task.
+    """
+    own = points.where(F.col("curve") == curve).join(newest(history, 1, tie).select("id"), "id", "left_semi")
+    name = {"roc": "ROC Curve", "pr": "PR Curve"}[curve]
+    out = own.select(F.lit(name).alias("series"), "threshold", "x", "y")
+    if curve == "pr":
+        return out
+    corners = F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("v")
+    return out.unionByName(out.where("threshold IS NULL").select(corners).select(
+        F.lit("Random").alias("series"), F.lit(None).cast("double").alias("threshold"), F.col("v").alias("x"), F.col("v").alias("y")
+    ))
+
+
 def metrics_table(history: DataFrame, limit: int = HISTORY_LIMIT, tie: str = "id") -> DataFrame:
     """Printable history: time text and five metrics with four decimals."""
     wide = _fields(newest(history, limit, tie), "created_at")
@@ -77,10 +94,10 @@ def metrics_table(history: DataFrame, limit: int = HISTORY_LIMIT, tie: str = "id
     )
 
 
-def run_significance(history: DataFrame, alpha: float = ALPHA, tie: str = "id", limit: int = HISTORY_LIMIT) -> DataFrame:
-    """p-value of each of the newest runs, from its stored confusion matrix."""
+def run_significance(history: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """p-value of every stored run, from its confusion matrix."""
     m = F.col("metrics.confusion_matrix")
-    counts = newest(history, limit, tie).select(
+    counts = history.select(
         "created_at",
         (m[0][0] + m[1][1]).alias("correct"),
         (m[0][0] + m[0][1] + m[1][0] + m[1][1]).alias("n"),

@@ -25,7 +25,8 @@ from canvass.operators.binning import MAX_BINS, Layout, code_rows, feature_posit
 from canvass.session import materialize, scratch_path, small_table
 from canvass.spec import NODE_TABLE
 
-DEPTH_CAP = 30  # stands for "no limit", as in Spark's own trees
+DEPTH_CAP = 60  # heap numbers of nodes fit into 64 bits up to here
+LIBRARY_DEPTH = 30  # most that Spark's own learner can do
 CASE_NODES = 200  # above this a nested CASE outgrows one generated method
 MODEL_NODES = 1_000_000  # bound of a tree that is sent to the tasks for scoring
 _COUNTS = ("n0", "n1", "v0", "v1")
@@ -100,10 +101,13 @@ def grow_coded(
 ) -> Forest:
     """``grow_trees`` from rows of (label, codes), and (fold) when ``folds`` are left out.
 
-    Deterministic: ties go to the first feature and the lowest threshold.
+    Deterministic for given thresholds: ties go to the first feature and the lowest threshold.
+    "No depth limit" grows until nothing can be split, and fails beyond ``DEPTH_CAP`` levels.
     """
     spark = coded.sparkSession
-    depth_limit = DEPTH_CAP if max_depth is None else min(max_depth, DEPTH_CAP)
+    if max_depth is not None and max_depth > DEPTH_CAP:
+        raise ValueError(f"max_depth must be at most {DEPTH_CAP}")
+    depth_limit = DEPTH_CAP if max_depth is None else max_depth
     fold_number = F.col("fold") if folds else F.lit(-1)
     base = materialize(
         coded.select(F.col("label").cast("int").alias("label"), fold_number.cast("int").alias("fold"), "codes"),
@@ -138,14 +142,18 @@ def grow_coded(
         "v0 bigint, v1 bigint, criterion string, min_leaf int, w0 double, w1 double",
     )
 
-    splittable = F.expr(f"n0 > 0 AND n1 > 0 AND n0 + n1 >= {min_split} AND depth < {depth_limit}")
+    divisible = F.expr(f"n0 > 0 AND n1 > 0 AND n0 + n1 >= {min_split}")
+    splittable = divisible & (F.col("depth") < depth_limit)
     open_nodes, found = root_rows.where(splittable), []
     for depth in range(depth_limit):
         # Every level is written: its plan does not grow with the depth, a lost executor
         # repeats one level at most, and joins see the true size of the node tables.
         splits = materialize(_best_splits(rows, open_nodes, layout), f"tree-splits-{depth}")
         found.append(splits)
-        open_nodes = _children(splits).where(splittable)
+        following = _children(splits)
+        open_nodes = following.where(splittable)
+        if max_depth is None and depth == depth_limit - 1 and not following.where(divisible).isEmpty():
+            raise ValueError(f"the tree is deeper than {DEPTH_CAP} levels; set max_depth")
         if depth == depth_limit - 1 or open_nodes.isEmpty():
             break
         rows = materialize(_route(rows, _routes(open_nodes), layout), f"tree-routed-{depth}")
@@ -306,7 +314,7 @@ def fit_gini_tree(
     )
     assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(narrow)
     learner = DecisionTreeRegressor(
-        maxDepth=DEPTH_CAP if max_depth is None else max_depth, minInstancesPerNode=min_leaf,
+        maxDepth=LIBRARY_DEPTH if max_depth is None else max_depth, minInstancesPerNode=min_leaf,
         maxBins=max_bins, seed=seed, minWeightFractionPerNode=0.0,
     )
     if weight:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from canvass.operators.binning import MAX_BINS
 from canvass.operators.encoding import EncoderModel, fit_encoder, load_encoder
-from canvass.operators.evaluation import metrics_bundle
+from canvass.operators.evaluation import curve_rows, metrics_bundle
 from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search
 from canvass.operators.projection import labelled
 from canvass.operators.splitting import stratified_split
 from canvass.operators.tree import TreeSetting, grow_trees, load_tree, node_table, save_tree, score, truncate
-from canvass.operators.validation import accepted, check, quarantined
+from canvass.operators.validation import accepted, check, probability_valid, quarantined
 from canvass.session import materialize
 from canvass.sources.history import append_history, append_metrics, metrics_records, prediction_records
 from canvass.spec import CAMPAIGN, CV_FOLDS, DEFAULT_MODEL_NAME, SPLIT_SEED, TEST_SHARE, FeatureSpec
@@ -110,13 +110,20 @@ def evaluate_holdout(
     model_name: str = DEFAULT_MODEL_NAME,
     timestamp: str | None = None,
     history_path: str | None = None,
+    curves_path: str | None = None,
 ) -> DataFrame:
-    """Find the same test part again, score it, evaluate it, append to the history."""
+    """Find the same test part again, score it, evaluate it, append to the history.
+
+    The points of the curves go to ``curves_path`` as rows with the id of the run.
+    """
     parts = stratified_split(labelled(df, spec), spec.key, share=test_share, seed=seed)
     test = model.score(parts.where(F.col("part") == "test"), keep=["label"])
     bundle = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=True)
     if history_path:
-        append_metrics(metrics_records(bundle), history_path)
+        records = materialize(metrics_records(bundle), "metrics")
+        if curves_path:
+            append_metrics(curve_rows(test, few_scores=True).join(F.broadcast(records.select("id")), how="cross"), curves_path)
+        append_metrics(records, history_path)
     return bundle
 
 
@@ -138,6 +145,9 @@ def score_requests(
     checked = check(requests, spec, strict_domains)
     keep = [spec.key, *spec.inputs, *([created_at] if created_at else [])]
     scored = model.score(accepted(checked, spec), keep=keep)
+    # No record leaves with a probability out of range: the job fails instead.
+    refused = F.raise_error(F.lit("probability out of range")).cast("double")
+    scored = scored.withColumn("p", F.when(probability_valid(F.col("p")), F.col("p")).otherwise(refused))
     return prediction_records(scored, spec, created_at=created_at), quarantined(checked)
 
 

@@ -7,8 +7,10 @@ bottleneck, and a partition-based id would change when a task is run again.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +66,41 @@ def _dated(df: DataFrame, grain: str) -> DataFrame:
     return df.withColumn("created_date", F.substring(F.col("created_at").cast("string"), 1, width))
 
 
-def append_history(df: DataFrame, path: str, grain: str = "day") -> None:
-    """Append to a history table partitioned by date.
+def new_run() -> str:
+    """Name of a writer: a batch job, or a stream for as long as its checkpoint lives."""
+    return f"r{uuid.uuid4().hex}"
 
-    The rebalance hint gathers each date into few files and lets the adaptive planner
-    split a date that holds most of the rows.
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run kept with a checkpoint; a new or lost checkpoint starts a new run."""
+    path = os.path.join(checkpoint, "run")
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException:
+        run = new_run()
+        spark.range(1).select(F.lit(run).alias("value")).write.text(path)
+        return run
+
+
+def append_history(df: DataFrame, path: str, grain: str = "day", rebalance: bool = False) -> None:
+    """Append to a history as a run of its own.
+
+    ``rebalance`` shuffles the rows to gather each date into few files.
     """
-    dated = _dated(df, grain).hint("rebalance", "created_date")
-    dated.write.mode("append").partitionBy("created_date").parquet(path)
+    write_history_batch(df, path, new_run(), 0, grain, rebalance)
 
 
-def write_history_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch to its own ``batch_id=`` folder; a retry replaces it."""
-    df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={int(batch_id)}"))
+def write_history_batch(df: DataFrame, path: str, run: str, batch_id: int, grain: str = "day", rebalance: bool = False) -> None:
+    """Write one batch to ``run_id=/batch_id=/created_date=``; a retry replaces just that batch.
+
+    Batch jobs and streams share this layout, so one history can hold both, and no run
+    replaces what another one wrote.
+    """
+    dated = _dated(df, grain) if "created_at" in df.columns else df.withColumn("created_date", F.lit("all"))
+    if rebalance:
+        dated = dated.hint("rebalance", "created_date")
+    folder = os.path.join(path, f"run_id={run}", f"batch_id={int(batch_id)}")
+    dated.write.mode("overwrite").partitionBy("created_date").parquet(folder)
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -84,6 +108,11 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def read_history(spark: SparkSession, path: str, drop: Sequence[str] = ("created_date", "batch_id")) -> DataFrame:
+def read_history(
+    spark: SparkSession, path: str, drop: Sequence[str] = ("created_date", "run_id", "batch_id"), since: str | None = None,
+) -> DataFrame:
+    """A whole history, or the dates from ``since`` (text of a date) on: other folders are not read."""
     df = spark.read.parquet(path)
+    if since is not None:
+        df = df.where(F.col("created_date").cast("string") >= since)
     return df.drop(*[c for c in drop if c in df.columns])

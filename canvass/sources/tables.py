@@ -29,14 +29,18 @@ def read_campaign(
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
     if fmt == "csv":
-        # The header decides the column order, so read it (one line) and type by name.
+        # The header decides the column order, so read it (one line) and type by name.  Spark then
+        # compares the header of every file with it: files of another order fail, never mix up.
         header = spark.read.option("header", True).csv(path).columns
         require_target(header, spec)
         declared = {f.name: f for f in spec.table_schema(key_type).fields}
         schema = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     if fmt == "json":
         df = spark.read.schema(spec.table_schema(key_type)).json(path)
+        # A declared schema always has the column; what counts is whether any document does.
+        if not df.isEmpty() and df.where(F.col(spec.target).isNotNull()).isEmpty():
+            raise ValueError(f"column {spec.target!r} is not in the table")
     else:
         df = spark.read.parquet(path)
     require_target(df.columns, spec)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import reports
 from canvass.plans.jobs import Model, score_requests
-from canvass.sources.history import read_history, write_history_batch
+from canvass.sources.history import read_history, run_of, write_history_batch
 from canvass.sources.tables import read_requests
 from canvass.spec import CAMPAIGN, METRICS_HISTORY, FeatureSpec
 
@@ -35,21 +35,24 @@ def stream_scoring(
 ) -> StreamingQuery:
     """Score arriving JSON requests and append them to the history.
 
-    Stateless, so there is no watermark.  A micro-batch goes to a folder named after its
-    number: when it is repeated after a failure it replaces what it wrote before.
+    Stateless, so there is no watermark.  A micro-batch goes to a folder named after the run and
+    its number: when it is repeated after a failure it replaces what it wrote before.  A
+    run lives as long as its checkpoint, so a new checkpoint adds to the history.
     """
     requests = read_requests(spark, source, spec, stream=True) if max_files is None else (
         spark.readStream.schema(read_requests(spark, source, spec).schema)
         .option("maxFilesPerTrigger", max_files).json(source)
     )
 
+    run = run_of(spark, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # Read the batch once for both outputs.
         batch.persist()
         try:
             records, rejected = score_requests(batch, model, spec)
-            write_history_batch(records, history_path, batch_id)
-            write_history_batch(rejected, quarantine_path, batch_id)
+            write_history_batch(records, history_path, run, batch_id)
+            write_history_batch(rejected, quarantine_path, run, batch_id)
         finally:
             batch.unpersist()
 

@@ -23,7 +23,7 @@ def ten(spark):
 
 
 def test_bundle_of_ten_rows(ten):
-    row = evaluation.metrics_bundle(ten).first()
+    row = evaluation.metrics_bundle(ten, curves="arrays").first()
     m = row["metrics"]
     assert m["confusion_matrix"] == [[5, 0], [1, 4]]
     assert [m["accuracy"], m["precision"], m["recall"], m["auc_roc"]] == [0.9, 1.0, 0.8, 1.0]
@@ -35,11 +35,37 @@ def test_bundle_of_ten_rows(ten):
     assert row["curve_points"] == 7
 
 
-def test_long_curves_are_not_put_into_one_row(ten):
-    row = evaluation.metrics_bundle(ten, max_curve_points=3).first()
+def test_curves_as_rows_are_complete(ten):
+    row = evaluation.metrics_bundle(ten).first()
     assert row["metrics"]["roc_curve"] is None and row["curve_points"] == 7
     assert row["metrics"]["auc_roc"] == 1.0
-    assert evaluation.roc_points(ten).count() == 5
+    counts = {r["curve"]: r["count"] for r in evaluation.curve_rows(ten).groupBy("curve").count().collect()}
+    assert counts == {"roc": 5, "pr": 8}
+
+
+def test_infinite_and_missing_scores(spark):
+    inf = float("inf")
+    df = spark.createDataFrame(
+        [(1, 1, inf), (1, 1, 0.6), (0, 0, 0.6), (0, 0, 0.1), (0, 0, -inf), (1, 0, float("nan")), (1, 0, None)],
+        "label int, prediction int, p double")
+    expected = (1 + 1 + 1 + 0.5 + 1 + 1) / 6
+    for few in (True, False):
+        assert evaluation.roc_auc(df, few_scores=few).first()["auc_roc"] == pytest.approx(expected)
+        assert evaluation.roc_points(df, few_scores=few).count() == evaluation.roc_points(df, few_scores=not few).count()
+
+
+@pytest.mark.parametrize("n", [10**6, 4 * 10**6 + 2, 10**10, 10**12, 10**14])
+def test_binomial_tail_of_many_trials(n):
+    """Against the normal tail with the continuity and skewness-free corrections of p = 1/2."""
+    import math
+    sd = math.sqrt(n) / 2
+    for z in (0.5, 1.0, 3.0):
+        k = int(n / 2 + z * sd)
+        u = (k - 0.5 - n / 2) / sd
+        density = math.exp(-u * u / 2) / math.sqrt(2 * math.pi)
+        # Edgeworth term of fourth order: kurtosis -2 / n, and the lattice term 1 / (24 sd^2).
+        expected = 0.5 * math.erfc(u / math.sqrt(2)) + density * (-2 / n / 24 * (u**3 - 3 * u) - u / (24 * sd * sd))
+        assert upper_tail(np.array([k]), np.array([n]), 0.5)[0] == pytest.approx(expected, rel=1e-9)
 
 
 def test_report_from_matrix(spark):

@@ -78,3 +78,44 @@ def test_ranking_prefers_the_first_of_equals(spark):
     assert {r["candidate"]: r["rank_test_score"] for r in ranked.collect()} == {0: 3, 1: 1, 2: 1}
     assert best_candidate(ranked).first()["candidate"] == 1
     assert len(Grid().candidates()) == 320
+
+
+@pytest.fixture(scope="module")
+def gaps(rows):
+    """The same rows, a third of them without x, and some with NaN."""
+    x = F.when(F.col("id") % 3 == 1, None).when(F.col("id") % 50 == 0, float("nan")).otherwise(F.col("x"))
+    return rows.withColumn("x", x).withColumn("label", F.when(F.col("id") % 3 == 1, 1).otherwise(F.col("label"))).cache()
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_missing_values_split_and_score(gaps, depth):
+    nodes = grown(gaps, depth)
+    by_node = {r["node"]: r for r in nodes.collect()}
+    for number, r in by_node.items():
+        inner = 2 * number in by_node
+        assert inner == (2 * number + 1 in by_node) == (r["feature"] is not None)
+        if inner:
+            assert r["threshold"] is not None and r["n"] == by_node[2 * number]["n"] + by_node[2 * number + 1]["n"]
+    # Rescoring finds as many rows, and the class share, of each leaf.
+    leaves = [(round(r["p1"], 9), r["n"]) for k, r in by_node.items() if r["feature"] is None]
+    want = {p: sum(n for q, n in leaves if q == p) for p, _ in leaves}
+    for cases in (200, 0):
+        got = tree.score(gaps, nodes, keep=["id"], case_nodes=cases).groupBy(F.round("p", 9).alias("p")).count().collect()
+        assert {r["p"]: r["count"] for r in got} == want
+
+
+def test_fold_scores_with_missing_values(gaps):
+    grid = Grid(balanced=(False,), criterion=("entropy",), max_depth=(4,), min_leaf=(2,), min_split=(2,))
+    forest = tree.grow_trees(gaps, ["x"], ["a", "b"], grid.settings(), fold="fold", folds=3, max_depth=4)
+    scores = {(r["fold"], r["part"]): r["auc_roc"] for r in fold_scores(forest, grid).collect()}
+    for fold in range(3):
+        one = tree.grow_trees(
+            gaps.where(F.col("fold") != fold), ["x"], ["a", "b"], grid.settings(), max_depth=4, layout=forest.layout
+        )
+        held = tree.score(gaps.where(F.col("fold") == fold), tree.node_table(one))
+        assert scores[fold, "test"] == pytest.approx(roc_auc(held, few_scores=True).first()["auc_roc"])
+
+
+def test_depth_beyond_the_numbers_of_nodes_is_refused(rows):
+    with pytest.raises(ValueError):
+        tree.grow_trees(rows, ["x"], ["a", "b"], [tree.TreeSetting()], max_depth=tree.DEPTH_CAP + 1)
