@@ -3,14 +3,13 @@
 A line is compared trimmed and in lower case; lines without a visible character are left alone.
 
 * Equal lines form one class.
-* A class's signature: its ``SIGNATURE``-character shingles are hashed, and for each of ``KEYS``
-  seeds the hash nearest to the seed (in XOR order) is kept, a MinHash sample.  Each sample is
-  a bucket key of its own: long shingles are rare enough for one-row bands, and at the
-  threshold, where about half of the long shingles agree, 2^-KEYS of the pairs share no key.
+* A class's signature: its ``SIGNATURE``-character shingles are hashed, and for each of twice ``KEYS``
+  seeds the hash nearest to the seed (in XOR order) is kept, a MinHash sample.  Two samples make
+  a bucket key.  At the threshold about 0.65 of the long shingles agree, so one pair in 250 shares no key.
 * Where a bucket does not end up in one component, its lines are compared by prefixes: two lines
   of the wanted similarity share one of the first elements of their sets, the rarest first.
 * Candidates are verified exactly: Jaccard similarity of the sets of 5-character shingles (a
-  shorter line is one shingle) of at least ``percent``.
+  shorter line is one shingle), by their 64-bit hashes, of at least ``percent``.
 * Classes are joined to components; one line of each component stays: the first by document
   id, then line number.  All its other occurrences go.
 
@@ -32,9 +31,11 @@ from canvass.llm.linking import link
 from canvass.llm.sieve import bitmap, marked
 from canvass.llm.store import Store
 
-SHINGLE, SIGNATURE, KEYS = 5, 16, 10
+SHINGLE, SIGNATURE, KEYS = 5, 12, 10
+#: Cells in which shingles are counted, so that their table has a fixed size.
+CELLS = 1 << 16
 _draw = random.Random(11)
-_SEEDS = [_draw.getrandbits(64) - (1 << 63) for _ in range(KEYS)]
+_SEEDS = [_draw.getrandbits(64) - (1 << 63) for _ in range(2 * KEYS)]
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -52,9 +53,13 @@ def plain(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Distinct 5-character shingles of a plain line."""
-    runs = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.when(F.char_length(line) >= SHINGLE, runs).otherwise(F.array(line))
+    """Hashes of the distinct 5-character shingles of a plain line."""
+    def cut(wide: Column) -> Column:
+        last = F.greatest(F.floor(F.octet_length(wide) / 2).cast("int") - SHINGLE, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+    # Two bytes a character, so that a shingle is cut out without walking along the line.
+    return bind(F.encode(line, "UTF-16BE"), cut)
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -98,26 +103,37 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("__doc", "__text_hash", "__line")).alias("first"), F.count("*").alias("times"))
     classes = first.join(_signatures(texts), ["h1", "h2"]).withColumn("id", F.monotonically_increasing_id())
     classes = store.put(classes, "classes")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"k{i}")) for i in range(KEYS)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"k{2 * i}"), F.col(f"k{2 * i + 1}")) for i in range(KEYS)])
     members = store.put(classes.select(F.explode(keys).alias("key"), "id"), "members")
+    fetched: list[DataFrame] = []
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id", "left_semi").select("id", "first.*")
-        return store.put(_texts_of(texts, wanted, store).select("id", shingles(F.col("plain")).alias("s")), "sets")
+    def lines_of(ids: DataFrame) -> DataFrame:
+        """Texts of lines; what is asked for later was part of the first call."""
+        if not fetched:
+            wanted = classes.join(ids, "id", "left_semi").select("id", "first.*")
+            fetched.append(store.put(_texts_of(texts, wanted, store), "plain"))
+            return fetched[0]
+        return fetched[0].join(ids, "id", "left_semi")
 
     def refine(ids: DataFrame) -> DataFrame:
-        parts = store.put(sets_of(ids).select("id", F.size("s").alias("n"), F.explode("s").alias("part")), "parts")
-        rarity = store.put(parts.groupBy("part").agg(F.count("*").alias("held")), "rarity")
+        held = lines_of(ids).repartition("id").select("id", shingles(F.col("plain")).alias("s"))
+        parts = held.select("id", F.size("s").alias("n"), F.explode("s").alias("part")).withColumn("cell", F.pmod("part", F.lit(CELLS)))
+        cells = store.put(parts.groupBy("cell").agg(F.count("*").alias("held")), "cells")
+        # Counts of CELLS cells at most; the lines stay where they are.
+        ranked = parts.join(F.broadcast(cells), "cell")
+        place = F.row_number().over(W.partitionBy("id").orderBy("held", "part")) - 1
         size = F.col("n") + 1 - F.ceil(F.col("n") * percent / 100)
-        first = parts.join(rarity, "part").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("held", "part")))
-        return first.where(F.col("place") <= size).select(F.xxhash64("part").alias("key"), "id", "n", (F.col("place") - 1).alias("place"))
+        return ranked.withColumn("place", place).where(F.col("place") < size).select(F.col("part").alias("key"), "id", "n", "place")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        sized = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return sized.where(100 * F.col("common") >= percent * (F.col("all") - F.col("common"))).select("a", "b")
+        held = lines_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("plain").alias("pa")), "a").join(
+            held.select(F.col("id").alias("b"), F.col("plain").alias("pb")), "b")
+        sets = F.struct(shingles(F.col("pa")).alias("x"), shingles(F.col("pb")).alias("y"))
+        sizes = bind(sets, lambda s: F.struct(
+            (F.size(s["x"]) + F.size(s["y"])).alias("all"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
+        # One expression, as a filter on a computed column would be computed for each use.
+        return both.where(bind(sizes, lambda z: 100 * z["common"] >= percent * (z["all"] - z["common"]))).select("a", "b")
 
     roots = store.put(link(members, percent, verify, refine, store), "roots")
     joined = classes.join(roots, F.col("id") == F.col("node"), "left").select(
