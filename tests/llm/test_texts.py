@@ -98,9 +98,8 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_parts(spark):
-    parts = "array(struct('text' AS kind, 'see <this>' AS text, null AS ref, 0L AS units), struct('image', null, 'i.png', 2L), " \
-            "struct('audio', null, 'a.wav', 3L), struct('document', null, 'd.pdf', null), struct('text', 'end', null, 0L))"
-    df = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, {parts} AS c")
+    parts = [("text", "see <this>", None, 0), ("image", None, "i.png", 2), ("audio", None, "a.wav", 3), ("document", None, "d.pdf", None), ("text", "end", None, 0)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, c array<{chat.PART}>")
     r = chat.format_conversations(df, content=F.col("c")).first()
     assert r.formatted == "<turn user>see \\lthis><image><audio><document>end</turn>\n"
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 512), ("audio", "a.wav", 75), ("document", "d.pdf", 500)]
