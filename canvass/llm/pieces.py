@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from canvass.llm.words import slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Remembered segments; beyond that the memory starts anew.
-MEMORY = 300_000
+MEMORY = 600_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -111,24 +112,23 @@ class PieceModel:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.id_list: list[int] = []
-        self.size_list: list[int] = []
-        self.begin_list: list[int] = [0]
+        self.id_list, self.size_list, self.begin_list = array("i"), array("q"), array("q", [0])
 
     def merged(self, marks: str) -> list[str]:
         """Pieces of one segment: always the best pair, on ties the leftmost."""
         parts, score = list(marks), self.score
-        if len(parts) > 48:
+        if len(parts) > 200:
             return self._merged_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
+        none = float("-inf")
+        pairs = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            at = pairs.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score.get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = score.get(parts[at] + parts[at + 1], none)
         return parts
 
     def _merged_long(self, parts: list) -> list[str]:
@@ -161,10 +161,10 @@ class PieceModel:
 
     def _learn(self, segment: str) -> int:
         """Number under which the segment's ids and source sizes are remembered."""
-        plain = segment.replace(" ", MARK)
+        plain, narrow = segment.replace(" ", MARK), segment.isascii()
         at = 0
         for piece in self.merged(plain):
-            size = len(segment[at:at + len(piece)].encode())
+            size = len(piece) if narrow else len(segment[at:at + len(piece)].encode())
             at += len(piece)
             ident = self.ids.get(piece)
             if ident is None or piece not in self.score:
@@ -198,7 +198,7 @@ class PieceModel:
             segments = cut(" " + text) if text else ()
             numbers.extend([known[s] if s in known else learn(s) for s in segments])
             counts.append(len(segments))
-        begin = np.array(self.begin_list)
+        begin = np.array(self.begin_list, np.int64)
         seg = np.array(numbers, np.int64)
         sizes = begin[seg + 1] - begin[seg]
         seg_first = np.concatenate([[0], np.cumsum(sizes)])
