@@ -6,8 +6,9 @@ A line is compared trimmed and in lower case; lines without a visible character
 * A class's signature: its ``SIGNATURE``-character shingles are hashed, and for each of twice ``KEYS``
   seeds the hash nearest to the seed (in XOR order) is kept, a MinHash sample.  Two samples make
   a bucket key.  At the threshold about 0.65 of the long shingles agree, so one pair in 250 shares no key.
-* Where a bucket does not end up in one component, its lines are compared by prefixes: two lines
-  of the wanted similarity share one of the first elements of their sets, the rarest first.
+* Where a bucket does not end up in one component, its lines are compared by finer keys of three samples
+  each, if four of sixteen samples agree.  (Of short shingles even the rarest are shared by chance, so prefixes
+  of rare elements, as for words, would list far too many pairs.)
 * Candidates are verified exactly: Jaccard similarity of the sets of 5-character shingles (a
   shorter line is one shingle), by their 64-bit hashes, of at least ``percent``.
 * Classes are joined to components; one line of each component stays: the first by document
@@ -25,17 +26,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from canvass.llm.linking import link
 from canvass.llm.sieve import bitmap, marked
 from canvass.llm.store import Store
 
 SHINGLE, SIGNATURE, KEYS = 5, 12, 10
-#: Cells in which shingles are counted, so that their table has a fixed size.
-CELLS = 1 << 16
+#: Keys of three samples for the lines of mixed buckets, and how many of 16 samples a pair must share there.
+FINER, AGREEING = 40, 4
 _draw = random.Random(11)
 _SEEDS = [_draw.getrandbits(64) - (1 << 63) for _ in range(2 * KEYS)]
+_TRIOS = [_draw.sample(range(2 * KEYS), 3) for _ in range(FINER)]
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -81,6 +82,27 @@ def _signatures(texts: DataFrame) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"k{i}") for i, s in enumerate(_SEEDS)])
 
 
+def _brief() -> list[Column]:
+    """Eight bits of each of sixteen samples, in two longs."""
+    def packed(at: int) -> Column:
+        out = F.col(f"k{at}").bitwiseAND(255)
+        for j in range(1, 8):
+            out = out.bitwiseOR(F.shiftleft(F.col(f"k{at + j}").bitwiseAND(255), 8 * j))
+        return out
+
+    return [packed(0).alias("s0"), packed(8).alias("s1")]
+
+
+def _agreeing() -> Column:
+    """In how many of sixteen samples two lines agree."""
+    out = F.lit(0)
+    for s in ("s0", "s1"):
+        differing = F.col(s).bitwiseXOR(F.col(f"x_{s}"))
+        for j in range(8):
+            out = out + F.when(F.shiftright(differing, 8 * j).bitwiseAND(255) == 0, 1).otherwise(0)
+    return out
+
+
 def _texts_of(texts: DataFrame, wanted: DataFrame, store: Store) -> DataFrame:
     """``(id, plain)`` of the wanted lines ``(id, __doc, __text_hash, __line)``."""
     per_doc = wanted.groupBy("__doc", "__text_hash").agg(F.collect_list(F.struct("id", "__line")).alias("want"))
@@ -116,14 +138,8 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
         return fetched[0].join(ids, "id", "left_semi")
 
     def refine(ids: DataFrame) -> DataFrame:
-        held = lines_of(ids).repartition("id").select("id", shingles(F.col("plain")).alias("s"))
-        parts = held.select("id", F.size("s").alias("n"), F.explode("s").alias("part")).withColumn("cell", F.pmod("part", F.lit(CELLS)))
-        cells = store.put(parts.groupBy("cell").agg(F.count("*").alias("held")), "cells")
-        # Counts of CELLS cells at most; the lines stay where they are.
-        ranked = parts.join(F.broadcast(cells), "cell")
-        place = F.row_number().over(W.partitionBy("id").orderBy("held", "part")) - 1
-        size = F.col("n") + 1 - F.ceil(F.col("n") * percent / 100)
-        return ranked.withColumn("place", place).where(F.col("place") < size).select(F.col("part").alias("key"), "id", "n", "place")
+        keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"k{k}") for k in trio]) for i, trio in enumerate(_TRIOS)])
+        return classes.join(ids, "id", "left_semi").select(F.explode(keys).alias("key"), "id", *_brief())
 
     def verify(pairs: DataFrame) -> DataFrame:
         held = lines_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
@@ -135,7 +151,7 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
         # One expression, as a filter on a computed column would be computed for each use.
         return both.where(bind(sizes, lambda z: 100 * z["common"] >= percent * (z["all"] - z["common"]))).select("a", "b")
 
-    roots = store.put(link(members, percent, verify, refine, store), "roots")
+    roots = store.put(link(members, verify, refine, _agreeing() >= AGREEING, store), "roots")
     joined = classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", "id", "first", "times", F.coalesce("root", "id").alias("root"), F.col("node").isNotNull().alias("linked"))
     joined = store.put(joined.where("linked OR times > 1"), "joined")

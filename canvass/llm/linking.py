@@ -6,17 +6,17 @@ DataFrame operations only.  Pairs within a bucket are never listed in full:
    the leader alone, and the pairs are verified exactly.
 2. Verified links join items to components.  A bucket whose members lie in one component needs
    no further work.
-3. The members of the other buckets get finer keys, of which any two similar items share one
-   (rarest elements first, so that a crowd of half-similar items shares none).  Under each of
-   these keys the largest component is the home; only members outside it are paired with members
-   of other components, and verified.
+3. The members of the other buckets get finer keys, of which two similar items share one, and
+   a crowd of half-similar items hardly any.  Under each of these keys the largest component is
+   the home; only members outside it are paired with members of other components, if the
+   pair fits, and verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.store import Store, fingerprint
@@ -49,16 +49,15 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
 
 
 def link(
-    members: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame],
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], fits: Column,
     store: Store, admissible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
     """``(node, root)`` for the items linked through common keys.
 
     ``members``: written table ``(key, id)``, both long.  ``verify`` takes pairs ``(a, b)`` and
-    returns those with a Jaccard similarity of ``percent`` or more.  ``refine`` takes ids and returns
-    ``(key, id, n, place)``: the first elements of each item's set in a common order, which is long enough
-    for two similar items to share one, the size of the set, and the element's place from 0.
-    ``admissible`` may drop pairs that cannot be similar.
+    returns those that are similar.  ``refine`` takes ids and returns finer keys ``(key, id, ...)``; ``fits``
+    tells from the further columns, those of the second item with ``x_`` before their names,
+    whether two items under one key may be similar.  ``admissible`` may drop pairs that cannot be.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = store.put(members.join(store.put(sizes, "sizes"), "key"), "shared")
@@ -70,16 +69,14 @@ def link(
     edges = store.put(verify(pairs), "links")
     roots = store.put(components(edges, store), "roots")
 
-    placed, home = _homes(shared, roots, store)
+    placed, home = _homes(shared.select("key", "id"), roots, store)
     open_ids = store.put(placed.join(home, "key", "left_semi").select("id").distinct(), "open")
     store.drop(shared, placed, home)
     placed, home = _homes(store.put(refine(open_ids), "refined"), roots, store)
     open_ = store.put(placed.join(home, "key"), "mixed")
-    outside = store.put(open_.where("root <> home").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "n", "place")]), "outside")
-    # Where two sets first agree, what is left of both bounds what they share.
-    room = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) >= percent * (F.col("n") + F.col("x_n"))
-    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
-    met = open_.join(outside, (open_["key"] == outside["key"]) & (F.col("root") != F.col("x_root")) & room & alike)
+    others = [c for c in open_.columns if c not in ("key", "home")]
+    outside = store.put(open_.where("root <> home").select("key", *[F.col(c).alias(f"x_{c}") for c in others]), "outside")
+    met = open_.join(outside, (open_["key"] == outside["key"]) & (F.col("root") != F.col("x_root")) & fits)
     # Two members outside the home meet twice; the distinct pairs take care of that.
     rest = met.withColumnRenamed("x_id", "x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     rest = store.put(admissible(rest.join(pairs, ["a", "b"], "left_anti")), "rest")
@@ -88,8 +85,8 @@ def link(
 
 def _homes(members: DataFrame, roots: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """Members with their components, and for each key with several components the most frequent one."""
-    kept = [c for c in ("key", "id", "n", "place") if c in members.columns]
-    placed = members.select(*kept).join(roots, F.col("id") == F.col("node"), "left")
+    kept = members.columns
+    placed = members.join(roots, F.col("id") == F.col("node"), "left")
     placed = store.put(placed.select(*kept, F.coalesce("root", "id").alias("root")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("held"))
     home = parts.groupBy("key").agg(F.max_by("root", F.struct("held", -F.col("root"))).alias("home"), F.count("*").alias("parts"))

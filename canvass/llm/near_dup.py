@@ -219,7 +219,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, id_col: str = "doc_
             .select("a", "b", "ta", "tb").mapInArrow(_similar(percent), "a long, b long")
         )
 
-    roots = store.put(link(store.put(members, "members"), percent, verify, refine, store, admissible), "components")
+    # Where two sets first agree, what is left of both bounds what they share.
+    room = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) >= percent * (F.col("n") + F.col("x_n"))
+    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+    roots = store.put(link(store.put(members, "members"), verify, refine, room & alike, store, admissible), "components")
     named = classes.select("set_a", "set_b", "id").join(roots, F.col("id") == F.col("node"), "left")
     named = store.put(named.select("set_a", "set_b", F.coalesce("root", "id").alias("root")), "classed")
     out = signed_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
