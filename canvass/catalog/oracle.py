@@ -6,6 +6,8 @@ tables, brute-force split search, gamma-function tail sums.
 
 from __future__ import annotations
 
+import re
+
 CONTACTS = """contacts AS (
 SELECT o_orderkey AS contact_id, o_orderdate AS contact_ts,
  CAST(18 + (o_custkey * 7 + 3) % 70 AS INT) AS age,
@@ -220,13 +222,13 @@ def _level(source: str, target: str) -> str:
 
 
 _FEATURES = list(TREE_NUMERIC) + list(TREE_FLAGS)
-TREE = f"""WITH {CONTACTS}, labelled AS (SELECT *, CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS label FROM contacts),
+_TREE = f"""WITH {CONTACTS}, labelled AS (SELECT *, CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS label FROM contacts),
  long_rows AS ({' UNION ALL '.join(
-    [f"SELECT contact_id, {i} AS f, CAST({c} AS DOUBLE) AS value FROM labelled" for i, c in enumerate(TREE_NUMERIC)]
+    [f"SELECT contact_id, {i} AS f, /*value {i}*/CAST({c} AS DOUBLE)/*end*/ AS value FROM labelled" for i, c in enumerate(TREE_NUMERIC)]
     + [f"SELECT contact_id, {i + len(TREE_NUMERIC)}, CASE WHEN {e} THEN 1.0 ELSE 0.0 END FROM labelled" for i, e in enumerate(TREE_FLAGS.values())]
 )}),
  cuts AS (SELECT f, (value + next_value) / 2 AS threshold FROM (SELECT f, value, lead(value) OVER (PARTITION BY f ORDER BY value) AS next_value
-   FROM (SELECT DISTINCT f, value FROM long_rows)) WHERE next_value IS NOT NULL),
+   FROM (SELECT DISTINCT f, value FROM long_rows WHERE value IS NOT NULL)) WHERE next_value IS NOT NULL/*cuts*/),
  sizes AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM labelled),
  trees AS (SELECT tree, criterion, CASE WHEN balanced THEN n / (2.0 * c0) ELSE 1.0 END::DOUBLE AS w0, CASE WHEN balanced THEN n / (2.0 * c1) ELSE 1.0 END::DOUBLE AS w1
    FROM (VALUES (0, 'gini', false), (1, 'gini', true), (2, 'entropy', false), (3, 'entropy', true)) t(tree, criterion, balanced), sizes),
@@ -243,6 +245,16 @@ TREE = f"""WITH {CONTACTS}, labelled AS (SELECT *, CASE WHEN deposit = 'yes' THE
  counts AS (SELECT tree, node, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM every GROUP BY tree, node)
 SELECT c.tree, CAST(c.node AS BIGINT) AS node, n0, n1, feature, threshold, round(n1 * w1 / (n0 * w0 + n1 * w1), 9) AS p1
 FROM counts c JOIN trees t ON c.tree = t.tree LEFT JOIN best b ON c.tree = b.tree AND c.node = b.node LEFT JOIN names USING (f)"""
+TREE = re.sub(r"/\*.*?\*/", "", _TREE)
+
+
+def _tree_with_missing() -> str:
+    """The same trees where each numeric feature lacks every seventh value: a missing one goes right,
+    and one more threshold parts it from all others."""
+    holes = re.sub(r"/\*value (\d)\*/(.*?)/\*end\*/", r"CASE WHEN contact_id % 7 <> \1 THEN \2 END", _TREE)
+    holes = holes.replace("/*cuts*/", " UNION ALL SELECT DISTINCT f, CAST('infinity' AS DOUBLE) FROM long_rows WHERE value IS NULL")
+    return f"SELECT tree, node, n0, n1, feature, CASE WHEN threshold = CAST('infinity' AS DOUBLE) THEN 1e300 ELSE threshold END AS threshold, p1 FROM ({holes})"
+
 
 
 def _joined_points(points: str, expr: str, order: str) -> str:
@@ -407,6 +419,7 @@ FROM contacts, params"""
 {curve('held')}, m AS ({matrix('held')}), a AS (SELECT {AREA} AS auc FROM cum)
 SELECT tn + fp + fn + tp AS n, {SCALARS}, round(auc, 9) AS auc_roc, '2024-01-01 00:00:00' AS timestamp FROM m, a"""
     s["tree_first_splits"] = TREE
+    s["tree_with_missing"] = _tree_with_missing()
     s["grid_rank"] = f"""WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, round(st, 9) AS std_test_score, round(mr, 9) AS mean_train_score, round(sr, 9) AS std_train_score,
  rk AS rank_test_score FROM ranks"""
     s["grid_best"] = f"WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, rk AS rank_test_score FROM ranks ORDER BY rk, candidate LIMIT 1"

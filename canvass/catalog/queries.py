@@ -707,7 +707,8 @@ def _nodes_view(nodes: DataFrame) -> DataFrame:
 @query
 def tree_gini(spark, sf_dir):
     encoder, train = _train_part(spark, sf_dir)
-    return _nodes_view(tree.fit_gini_tree(train, encoder.feature_names, max_depth=5))
+    forest = tree.grow_trees(train, *jobs.split_kinds(encoder), [tree.TreeSetting("gini")], max_depth=5)
+    return _nodes_view(tree.node_table(forest))
 
 
 @query
@@ -744,11 +745,9 @@ PLAIN_NUMERIC = ("age", "day", "campaign", "previous")
 PLAIN_FLAGS = ("housing", "loan", "default")
 
 
-@query
-def tree_first_splits(spark, sf_dir):
-    """Depth-2 trees by both criteria, with and without class weights."""
-    rows = labelled(spark, sf_dir).select(
-        "label", *[F.col(c).cast("double").alias(c) for c in PLAIN_NUMERIC],
+def _first_splits(rows, value):
+    rows = rows.select(
+        "label", *[value(i, c).cast("double").alias(c) for i, c in enumerate(PLAIN_NUMERIC)],
         F.when(F.col("contact") == "cellular", 1.0).otherwise(0.0).alias("cellular"),
         F.when(F.col("contact") == "telephone", 1.0).otherwise(0.0).alias("telephone"),
         F.when(F.col("poutcome") == "success", 1.0).otherwise(0.0).alias("success"),
@@ -759,11 +758,23 @@ def tree_first_splits(spark, sf_dir):
         rows, PLAIN_NUMERIC, ("cellular", "telephone", "success", *PLAIN_FLAGS), settings, max_depth=2
     )
     return forest.nodes.select(
-        "tree", "node", "n0", "n1", "feature", "threshold",
+        "tree", "node", "n0", "n1", "feature", F.when(F.col("threshold") == float("inf"), 1e300).otherwise(F.col("threshold")).alias("threshold"),
         r9(F.col("n1") * F.col("w1") / (F.col("n0") * F.col("w0") + F.col("n1") * F.col("w1"))).alias("p1"),
     )
 
 
+@query
+def tree_first_splits(spark, sf_dir):
+    """Depth-2 trees by both criteria, with and without class weights."""
+    return _first_splits(labelled(spark, sf_dir), lambda i, c: F.col(c))
+
+
+@query
+def tree_with_missing(spark, sf_dir):
+    """The same trees where each numeric feature lacks every seventh value."""
+    return _first_splits(labelled(spark, sf_dir), lambda i, c: F.when(F.col(KEY) % 7 != i, F.col(c)))
+
+
 SMALL_GRID = grid.Grid(max_depth=(2, 4), min_leaf=(1, 8), min_split=(2, 50))
 
 
