@@ -285,7 +285,7 @@ SELECT class, round(pr, 9) AS "precision", round(re, 9) AS recall, round(f, 9) A
 a AS (SELECT g, {AREA} AS auc FROM cum GROUP BY g),
 r AS (SELECT g, {_joined_points('roc_fpr', 'fpr', 'k')}, {_joined_points('roc_tpr', 'tpr', 'k')} FROM ({ROC}) GROUP BY g),
 p AS (SELECT g, {_joined_points('pr_precision', '"precision"', 'k DESC')}, {_joined_points('pr_recall', 'recall', 'k DESC')} FROM ({PR}) GROUP BY g)
-SELECT contact, tn + fp + fn + tp AS n, 'Decision Tree - Bank Marketing' AS model, '2024-01-01 00:00:00' AS timestamp, {SCALARS}, round(auc, 9) AS auc_roc, tn, fp, fn, tp,
+SELECT contact, tn + fp + fn + tp AS n, 'decision-tree' AS model, '2024-01-01 00:00:00' AS timestamp, {SCALARS}, round(auc, 9) AS auc_roc, tn, fp, fn, tp,
  round(tn / CAST(tn + fn AS DOUBLE), 9) AS precision_0,
  round((2 * tn / CAST(2 * tn + fp + fn AS DOUBLE) + {F1}) / 2, 9) AS macro_f1, round({ACC}, 9) AS weighted_recall,
  roc_fpr, roc_tpr, pr_precision, pr_recall FROM m JOIN a ON contact = a.g JOIN r ON contact = r.g JOIN p ON contact = p.g"""

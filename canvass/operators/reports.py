@@ -37,6 +37,7 @@ def confusion_cells(history: DataFrame, tie: str = "id") -> DataFrame:
     zero = F.array(*[F.array(*[F.lit(0).cast("bigint")] * 2)] * 2)
     latest = newest(history, 1, tie).select(F.coalesce("metrics.confusion_matrix", zero).alias("m"))
     rows = latest.select(F.posexplode("m").alias("a", "r"))
+    # The labels are part of the output.
     cells = rows.select("a", F.posexplode("r").alias("b", "n"))
     return cells.select(
         F.when(F.col("a") == 0, "Actual: No").otherwise("Actual: Yes").alias("actual"),
@@ -106,7 +107,10 @@ def run_significance(history: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def score_text(scored: DataFrame, key: str, prediction: str = "prediction", probability: str = "p") -> DataFrame:
-    """Readable score: answer, probability with four decimals, percentage with two."""
+    """Readable score: answer, probability with four decimals, percentage with two.
+
+    Fixed values: the answers are part of the output.
+    """
     return scored.select(
         key,
         F.when(F.col(prediction) == 1, "SÍ").otherwise("NO").alias("answer"),

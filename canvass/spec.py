@@ -114,7 +114,7 @@ CAMPAIGN = FeatureSpec(
 SPLIT_SEED = 42
 TEST_SHARE = 0.2
 CV_FOLDS = 10
-DEFAULT_MODEL_NAME = "Decision Tree - Bank Marketing"
+DEFAULT_MODEL_NAME = "decision-tree"
 HISTORY_LIMIT = 100
 METRIC_FIELDS = ("accuracy", "precision", "recall", "f1_score", "auc_roc")
 
@@ -155,9 +155,10 @@ METRICS_HISTORY = T.StructType([
 ])
 
 
-def prediction_history_schema(spec: FeatureSpec = CAMPAIGN) -> T.StructType:
+def prediction_history_schema(spec: FeatureSpec = CAMPAIGN, key_type: T.DataType = T.LongType()) -> T.StructType:
     return T.StructType([
         T.StructField("id", T.LongType()),
+        T.StructField(spec.key, key_type),
         T.StructField("input_data", spec.input_schema(), False),
         T.StructField("prediction", T.IntegerType(), False),
         T.StructField("probability", T.DoubleType(), False),

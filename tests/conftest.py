@@ -18,6 +18,7 @@ def spark():
 @pytest.fixture(scope="session")
 def three_rows(spark):
     """Three campaign rows whose encoding is known by hand."""
+    # The inputs of known examples.
     rows = [
         (1, 30, "admin.", "single", "secondary", "no", 1000.0, "yes", "no", "cellular", 1, "may", 100, 1, -1, 0, "unknown", "yes"),
         (2, 40, "technician", "married", "tertiary", "no", 2000.0, "no", "yes", "unknown", 15, "jun", 200, 2, 5, 1, "success", "no"),

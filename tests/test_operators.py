@@ -16,6 +16,7 @@ from canvass.spec import CAMPAIGN
 
 @pytest.fixture(scope="module")
 def ten(spark):
+    # The inputs of a known example.
     y = [0, 1, 1, 0, 1, 0, 1, 1, 0, 0]
     hat = [0, 1, 1, 0, 1, 0, 1, 0, 0, 0]
     p = [0.1, 0.9, 0.8, 0.2, 0.7, 0.3, 0.9, 0.4, 0.2, 0.1]
@@ -187,3 +188,13 @@ def test_text(spark):
     assert [r[0] for r in rows.select(text.fixed4(F.col("x"))).collect()] == ["0.0312", "0.1235", "1.0000"]
     assert rows.select(text.to_number(F.lit("12d"))).first()[0] is None
     assert CAMPAIGN.inputs[0] == "age"
+
+
+def test_prediction_history_has_its_schema(spark):
+    from canvass.sources.history import prediction_records
+    from canvass.spec import prediction_history_schema
+
+    scored = tables.scorecard(tables.contacts(spark, "/root/testdata/sf0.001"))
+    schema = prediction_records(scored, created_at="contact_ts").schema
+    want = prediction_history_schema(key_type=schema[CAMPAIGN.key].dataType)
+    assert [(f.name, f.dataType.simpleString()) for f in schema] == [(f.name, f.dataType.simpleString()) for f in want]
