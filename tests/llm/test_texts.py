@@ -227,7 +227,7 @@ def test_attention_gradient_and_learning():
     import numpy as np
     draw = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in attention.fresh().items()}
-    x, t = draw.integers(0, 2000, (3, attention.LENGTH)), draw.integers(0, 2000, (3, attention.LENGTH))
+    x, t = draw.integers(0, attention.END, (3, attention.LENGTH)), draw.integers(0, attention.END, (3, attention.LENGTH))
     mask = draw.random(x.shape) < 0.7
     _, g = attention.gradient(p, x, t, mask)
     for key, spot in (("q", (1, 2)), ("k", (3, 4)), ("v", (0, 5)), ("near", (2,)), ("u", (int(t[mask][0]) % attention.CLASSES, 3)), ("E", (int(x[0, 0]), 1))):
