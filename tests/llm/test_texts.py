@@ -211,6 +211,34 @@ def test_scores(spark):
     assert lm_score.score(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_learns_from_every_id_of_each_training_text():
+    import pyarrow as pa
+    import public_tokenizers
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["the", "Cat", "mat", f"long{i}" * 20]) for _ in range(300 * i)) for i in range(5)] + [None]
+    coder = attention.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    _, target, scored = lm_score._lessons(coder, pa.array(texts))
+    code, first, _ = coder.encode(lm_score._split(pa.array(texts)))
+    assert target[scored].tolist() == code.tolist()
+    assert (target[scored] == attention.END).sum() == len(texts)
+
+
+def test_each_round_trains_on_all_lessons(monkeypatch):
+    """The number of windows that weigh a task's parameters is that of all windows of the training texts."""
+    import public_tokenizers
+    from types import SimpleNamespace
+    import pyarrow as pa
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids, texts = list(range(20)), ["some words of a text " * 40] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([ids]), pa.array([texts])], names=["chunk", "ids", "texts"])
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    learn = [t for i, t in zip(ids, texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = len(lm_score._lessons(attention.Coder(path), pa.array(learn))[0])
+    for number in range(lm_score.ROUNDS):
+        out, = lm_score._trained(path, SimpleNamespace(value=attention.flat(attention.fresh())), number)(iter([batch]))
+        assert out.column("weight").to_pylist() == [want]
+
+
 def test_windows_score_each_id_once():
     import numpy as np
     sizes = [1, 2, 15, 16, 17, 28, 29, 100]
