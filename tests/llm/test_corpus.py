@@ -144,6 +144,30 @@ def test_lines(spark, texts):
     assert fuzzy_lines.dedup_lines(frame(spark, texts).limit(0)).count() == 0
 
 
+def edited_lines(kind, number):
+    """Pairs of similar lines without a word in common with other pairs."""
+    draw, letters = random.Random(21), "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for _ in range(number):
+        size = {"12-13": 12, "12-14": 12}.get(kind) or int(kind)
+        line = "".join(draw.choice(letters) for _ in range(size))
+        at = size // 2
+        out.append((line, line + "!?"[:int(kind[3:]) - 12] if "-" in kind else line[:at] + "#" + line[at + 1:]))
+    return out
+
+
+def found_share(spark, pairs):
+    docs = [(k, f"{a}\n{b}") for k, (a, b) in enumerate(pairs)]
+    return sum(r.n_removed for r in fuzzy_lines.dedup_lines(frame(spark, docs)).collect()) / len(pairs)
+
+
+def test_short_and_edited_lines_meet(spark):
+    named = [("read more", "read more."), ("click here", "click here!")]
+    assert found_share(spark, named) == 1
+    for kind in ("12-13", "50"):
+        assert found_share(spark, edited_lines(kind, 400)) >= 0.995
+
+
 def repeats_removed(texts, size):
     docs = [WORD.findall(t or "") for _, t in texts]
     seen = Counter(tuple(w[k:k + size]) for w in docs for k in range(len(w) - size + 1))
