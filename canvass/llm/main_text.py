@@ -79,8 +79,9 @@ def _tree(page: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
     root = node = _Node("html", None, False)
     blocks: list[tuple[_Node, str, int]] = []
     held: list[str] = []
-    links = skipped = linked = articles = 0
-    skip_tag, at = "", 0
+    links = linked = articles = at = 0
+    # The place of the unwanted element among the open ones, if there is one; within it nothing is read.
+    dropped = 0
     opened = [root]
 
     def flush() -> None:
@@ -92,12 +93,16 @@ def _tree(page: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
         held, linked = [], 0
 
     def close(to: int) -> None:
-        nonlocal node, articles
-        flush()
+        nonlocal node, articles, dropped
+        if not dropped or to < dropped:
+            flush()
         for gone in opened[to:]:
             articles -= gone.tag in ("article", "main")
         del opened[to:]
-        node = opened[-1]
+        if to <= dropped:
+            dropped = 0
+        if not dropped:
+            node = opened[-1]
 
     def put(raw: str) -> None:
         nonlocal linked
@@ -107,38 +112,34 @@ def _tree(page: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
             linked += len(text.strip())
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not skipped:
+        if m.start() > at and not dropped:
             put(page[at:m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         closing = bool(m[2])
-        if skipped:
-            # Within an unwanted element only its own kind is counted.
-            if tag == skip_tag:
-                skipped += -1 if closing else 1
-            continue
-        if tag == "br":
+        if not dropped and tag == "br":
             held.append(" ")
-        elif tag == "a":
+        elif not dropped and tag == "a":
             links = 0 if closing else 1
         elif closing:
-            if tag in _BLOCKS:
-                for i in range(len(opened) - 1, 0, -1):
+            # The end of an inline element counts only within an unwanted one, where inline elements are held too.
+            if tag in _BLOCKS or dropped:
+                for i in range(len(opened) - 1, 0 if tag in _BLOCKS else dropped - 1, -1):
                     if opened[i].tag == tag:
                         close(i)
                         break
                 else:
-                    flush()
-        else:
-            if tag not in _VOID and _unwanted(tag, m[4], articles > 0):
-                if tag in _BLOCKS or tag in _DROP:
-                    flush()
-                skipped, skip_tag = 1, tag
-            elif tag in _BLOCKS:
-                if tag in _CLOSES_P and opened[-1].tag == "p":
-                    close(len(opened) - 1)
+                    if not dropped:
+                        flush()
+        elif tag not in _VOID or tag == "hr":
+            if tag in _BLOCKS:
+                top = len(opened) - 1
+                while opened[top].tag not in _BLOCKS and opened[top].tag not in _DROP:
+                    top -= 1
+                if (tag in _CLOSES_P and opened[top].tag == "p") or (tag != "html" and opened[top].tag == "head"):
+                    close(top)
                 ends, stops = _ENDS.get(tag, ((), ()))
                 for i in range(len(opened) - 1, 0, -1):
                     if opened[i].tag in stops:
@@ -146,16 +147,24 @@ def _tree(page: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
                     if opened[i].tag in ends:
                         close(i)
                         break
+            unwanted = not dropped and tag != "hr" and _unwanted(tag, m[4], articles > 0)
+            if not dropped and (tag in _BLOCKS or (unwanted and tag in _DROP)):
                 flush()
+            if tag in _BLOCKS and not dropped and not unwanted:
                 links = 0
-                if tag in ("html", "hr"):
-                    continue
+            if tag in ("html", "hr"):
+                continue
+            if dropped or unwanted:
+                dropped = dropped or len(opened)
+                opened.append(_Node(tag, None, False))
+                articles += tag in ("article", "main")
+            elif tag in _BLOCKS:
                 fresh = _Node(tag, node, any(g in m[4].lower() for g in _GOOD) if m[4] else False)
                 node.kids.append(fresh)
                 opened.append(fresh)
                 node = fresh
                 articles += tag in ("article", "main")
-    if at < len(page) and not skipped:
+    if at < len(page) and not dropped:
         put(page[at:])
     flush()
     return root, blocks

@@ -69,6 +69,18 @@ def test_main_text():
     assert main_text.main_text("<p>" + "a " * 100_000 + "</p>") == ("a " * 100_000).strip()
 
 
+def test_unwanted_elements_without_end_tags():
+    real = "Real text, with commas, " * 9
+    text = real.strip()
+    assert main_text.main_text(f'<article><p class="share">Share<p>{real}</article>') == text
+    assert main_text.main_text(f'<article><ul><li class="share">Share<li>{real}</ul></article>') == text
+    assert main_text.main_text(f'<table><tr><td class="share">Share<td>{real}<tr class="promo"><td>Buy<tr><td>{real}</table>') == f"{text} {text}"
+    assert main_text.main_text(f'<article><div><div class="share">Share<div>deep</div></div>{real}<span class="share">x<span>y</span>z</span></div></article>') == text
+    assert main_text.main_text(f'<article><p>{real}<span class="share">Share<p>{real}</article>') == f"{text} {text}"
+    assert main_text.main_text(f'<article><p>one <span class="share">Share<b>now</b></span> two, {real}</p></article>') == f"one two, {text}"
+    assert main_text.main_text(f'<html><head><meta charset=x><title>t</title><body><p>{real}') == text
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a  b</p>", 1), (2, None, None, 2), (1, "u", "<p>a  b</p>", 1)], "page_id long, url string, html string, text long")
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in main_text.extract(rows).collect() if r.page_id == 1)
