@@ -2,7 +2,8 @@
 
 Texts and items are compared in lower case, with ASCII punctuation as space.  Similarity is that
 of weighted 5-word shingles (fewer words: one shingle): the sum of the smaller over the sum of the larger counts, each
-times the shingle's weight, one over the number of items that hold it.  At least ``percent`` is a hit.
+times the shingle's weight, one over the number of different items that hold it; shingles that the item does not hold
+weigh as much as its own do on average.  At least ``percent`` is a hit.
 
 1. A window without any shingle of an item cannot be a hit.  At each place where a
    document has a shingle of an item, a window of the item's size is laid so that both agree there.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.store import Store
-from canvass.llm.words import U64, Words, slices, words_of
+from canvass.llm.words import U64, Words, signed, slices, words_of
 
 SHINGLE, RADIUS, BLOCKS = 5, 23, 8
 BLOCK_BYTES = 4 << 20
@@ -50,26 +51,36 @@ def simhash(words: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with words; for each of their shingles the text's number among them, its place and code; the shingles' length by text."""
+    full = np.flatnonzero(w.counts > 0)
+    size, first = w.counts[full], w.first[:-1][full]
+    span = np.minimum(size, SHINGLE)
+    per_item = size - span + 1
+    item = np.repeat(np.arange(len(full)), per_item)
+    place = np.arange(per_item.sum()) - np.repeat(np.cumsum(per_item) - per_item, per_item)
+    begin = first[item] + place
+    return full, item, place, w.spans(begin, begin + span[item]), span
+
+
 class Index:
     """Items of one block: shingles with their places, weights, and fingerprints by block."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], holders: dict[int, int] | None = None):
+        """``holders``: for shingles of several different items of the whole benchmark, their number; counted here if not given."""
         w = words_of(pa.array(texts, pa.string()), "plain")
-        full = np.flatnonzero(w.counts > 0)
+        full, item, place, code, span = _shingles(w)
         self.ids = np.array(ids, np.int64)[full]
         self.size = w.counts[full]
         first = w.first[:-1][full]
-        span = np.minimum(self.size, SHINGLE)
-        per_item = self.size - span + 1
-        item = np.repeat(np.arange(len(full)), per_item)
-        place = np.arange(per_item.sum()) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-        begin = first[item] + place
-        code = w.spans(begin, begin + span[item])
         self.counts = [Counter() for _ in full]
         for i, c in zip(item.tolist(), code.tolist(), strict=True):
             self.counts[i][c] += 1
-        holders = Counter(c for items in self.counts for c in items)
-        self.weight = {c: 1 / n for c, n in holders.items()}
+        if holders is None:
+            different = dict(zip(w.spans(first, first + self.size).tolist(), self.counts, strict=True))
+            holders = Counter(c for items in different.values() for c in items)
+        self.weight = {c: 1 / holders.get(c, 1) for items in self.counts for c in items}
+        self.scale = [sum(self.weight[c] * k for c, k in items.items()) / items.total() for items in self.counts]
         order = np.argsort(code, kind="stable")
         self.code, self.item, self.place = code[order], item[order], place[order]
         self.lengths = np.unique(span)
@@ -123,9 +134,9 @@ class Index:
         n = min(end - start, SHINGLE)
         at = np.arange(start, end - n + 1)
         own = Counter(words.spans(at, at + n).tolist())
-        other, weight = self.counts[item], self.weight
+        other, weight, scale = self.counts[item], self.weight, self.scale[item]
         low = sum(weight[c] * min(k, own[c]) for c, k in other.items() if c in own)
-        total = sum(weight.get(c, 1.0) * k for c, k in own.items()) + sum(weight[c] * k for c, k in other.items())
+        total = sum((weight[c] if c in other else scale) * k for c, k in own.items()) + sum(weight[c] * k for c, k in other.items())
         return low / (total - low)
 
     def hits(self, words: Words, percent: int) -> dict[int, list[tuple[int, int, int, float]]]:
@@ -177,16 +188,35 @@ def _clean(index, percent: int, column: int):
     return run
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Block, fingerprint of the item's words, shingle."""
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            w = words_of(batch.column(1).slice(a, b - a), "plain")
+            full, item, _, code, _ = _shingles(w)
+            first = w.first[:-1][full]
+            text = signed(w.spans(first, first + w.counts[full]))
+            block = batch.column(0).slice(a, b - a).to_numpy()[full]
+            yield pa.RecordBatch.from_arrays([pa.array(block[item]), pa.array(text[item]), pa.array(signed(code))], names=["block", "item", "shingle"])
+
+
 def _indexes(items: DataFrame) -> Iterator:
     """Broadcast indexes of the blocks of ``(item_id, text)``."""
     spark = items.sparkSession
     wanted = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    wanted = Store(spark, "leaks").put(wanted.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))), "items")
+    store = Store(spark, "leaks")
+    wanted = store.put(wanted.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))), "items")
+    held = wanted.select("block", "text").mapInArrow(_held, "block long, item long, shingle long").distinct()
+    several = held.groupBy("shingle").agg(F.count_distinct("item").alias("n"), F.collect_set("block").alias("blocks")).where("n > 1")
+    several = store.put(several, "several")
     for k in range(blocks):
         part = wanted.where(F.col("block") == k).orderBy("item_id", "text").toArrow()
-        index = Index(part.column("item_id").to_pylist(), part.column("text").to_pylist())
+        # At most the shingles of the block.
+        known = several.where(F.array_contains("blocks", F.lit(k).cast("long"))).select("shingle", "n").toArrow()
+        holders = dict(zip(known.column("shingle").to_numpy().astype(np.int64).view(U64).tolist(), known.column("n").to_pylist(), strict=True))
+        index = Index(part.column("item_id").to_pylist(), part.column("text").to_pylist(), holders)
         if len(index.ids):
             yield spark.sparkContext.broadcast(index)
 

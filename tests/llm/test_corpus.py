@@ -223,6 +223,23 @@ def test_leaks(spark, texts):
     assert decontaminate.leaks(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_leaks_of_repeated_items_in_any_blocks(spark, monkeypatch):
+    draw = random.Random(12)
+    own, shared = prose(draw, 60), prose(draw, 30)
+    items = [(1, " ".join(own)), (2, " ".join(own).upper())] + [(k, " ".join(prose(draw, 12) + shared)) for k in range(3, 9)]
+    docs = [(1, " ".join(prose(draw, 20) + own[:30] + ["edited"] + own[31:] + prose(draw, 20)))]
+    for k in range(3, 9):
+        words = items[k - 1][1].split()
+        docs.append((k, " ".join(prose(draw, 20) + words[:20] + ["edited"] + words[21:] + prose(draw, 20))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (decontaminate.BLOCK_BYTES, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        found.append({(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(frame(spark, docs), bench).collect()})
+    assert found[0] == found[1]
+    assert found[0][1, 1] == found[0][1, 2] == round(51 / 61, 9)
+
+
 def test_every_pair_within_the_radius_is_found():
     draw = random.Random(1)
     words = [prose(draw, 20) for _ in range(40)]
