@@ -6,9 +6,8 @@ A line is compared trimmed and in lower case; lines without a visible character
 * A class's signature: of its 5-character shingles, the same that are verified, the one with the smallest hash is kept
   under each of ``SAMPLES`` hash functions, a MinHash sample.  Four samples make a bucket key; each sample is in
   four keys.  At a similarity of exactly 0.8 one pair in 1,500 shares no key, whatever the length, far fewer above.
-* Where a bucket does not end up in one component, its lines are compared by finer keys of three samples
-  each, if four of sixteen samples agree.  (Of short shingles even the rarest are shared by chance, so prefixes
-  of rare elements, as for words, would list far too many pairs.)
+* In each bucket all lines meet one leader; where a bucket does not end up in one component, all its pairs from different
+  components are candidates too.  So no pair that shares a key is left out.
 * Candidates are verified exactly: Jaccard similarity of the sets of 5-character shingles (a
   shorter line is one shingle), by their 64-bit hashes, of at least ``percent``.
 * Classes are joined to components; one line of each component stays: the first by document
@@ -32,10 +31,7 @@ from canvass.llm.sieve import bitmap, marked
 from canvass.llm.store import Store
 
 SHINGLE, SAMPLES, TOGETHER = 5, 28, 4
-#: Keys of three samples for the lines of mixed buckets, and how many of 16 samples a pair must share there.
-FINER, AGREEING = 40, 4
 _draw = random.Random(11)
-_TRIOS = [_draw.sample(range(SAMPLES), 3) for _ in range(FINER)]
 #: The samples of each key: four shuffles of all samples, cut in fours.
 _FOURS = [x[k:k + TOGETHER] for x in (_draw.sample(range(SAMPLES), SAMPLES) for _ in range(4)) for k in range(0, SAMPLES, TOGETHER)]
 BLANKS = " \t\r\x0b\x0c"
@@ -74,34 +70,15 @@ def _identity(line: str) -> list[Column]:
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """``(h1, h2, k0 ...)`` for each class of equal lines, combined before the shuffle."""
+    """``(h1, h2, keys)`` for each class of equal lines, combined before the shuffle."""
     # Two bytes a character, so that a shingle is cut out without walking along the line.
     wide = _occurrences(texts).select(*_identity("__plain"), F.encode("__plain", "UTF-16BE").alias("w"))
     last = F.greatest(F.expr(f"length(w) div 2 - {SHINGLE}"), F.lit(0).cast("long"))
     at = wide.select("h1", "h2", "w", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
     hashed = at.select("h1", "h2", F.xxhash64(F.substring("w", (F.col("i") * 2 + 1).cast("int"), F.lit(2 * SHINGLE))).alias("h"))
-    return hashed.groupBy("h1", "h2").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"k{i}") for i in range(SAMPLES)])
-
-
-def _brief() -> list[Column]:
-    """Eight bits of each of sixteen samples, in two longs."""
-    def packed(at: int) -> Column:
-        out = F.col(f"k{at}").bitwiseAND(255)
-        for j in range(1, 8):
-            out = out.bitwiseOR(F.shiftleft(F.col(f"k{at + j}").bitwiseAND(255), 8 * j))
-        return out
-
-    return [packed(0).alias("s0"), packed(8).alias("s1")]
-
-
-def _agreeing() -> Column:
-    """In how many of sixteen samples two lines agree."""
-    out = F.lit(0)
-    for s in ("s0", "s1"):
-        differing = F.col(s).bitwiseXOR(F.col(f"x_{s}"))
-        for j in range(8):
-            out = out + F.when(F.shiftright(differing, 8 * j).bitwiseAND(255) == 0, 1).otherwise(0)
-    return out
+    samples = hashed.groupBy("h1", "h2").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"k{i}") for i in range(SAMPLES)])
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"k{k}") for k in four]) for i, four in enumerate(_FOURS)])
+    return samples.select("h1", "h2", keys.alias("keys"))
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame, store: Store) -> DataFrame:
@@ -126,33 +103,34 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("__doc", "__text_hash", "__line")).alias("first"), F.count("*").alias("times"))
     classes = first.join(_signatures(texts), ["h1", "h2"]).withColumn("id", F.monotonically_increasing_id())
     classes = store.put(classes, "classes")
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"k{k}") for k in four]) for i, four in enumerate(_FOURS)])
-    members = store.put(classes.select(F.explode(keys).alias("key"), "id"), "members")
+    members = classes.select(F.explode("keys").alias("key"), "id")
     fetched: list[DataFrame] = []
 
     def lines_of(ids: DataFrame) -> DataFrame:
         """Texts of lines; what is asked for later was part of the first call."""
         if not fetched:
             wanted = classes.join(ids, "id", "left_semi").select("id", "first.*")
-            fetched.append(store.put(_texts_of(texts, wanted, store), "plain"))
+            plain_lines = _texts_of(texts, wanted, store)
+            fetched.append(store.put(plain_lines.withColumn("n", F.size(shingles(F.col("plain")))), "plain"))
             return fetched[0]
         return fetched[0].join(ids, "id", "left_semi")
 
     def refine(ids: DataFrame) -> DataFrame:
-        keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"k{k}") for k in trio]) for i, trio in enumerate(_TRIOS)])
-        return classes.join(ids, "id", "left_semi").select(F.explode(keys).alias("key"), "id", *_brief())
+        return members.join(ids, "id", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         held = lines_of(store.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named"))
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("plain").alias("pa")), "a").join(
-            held.select(F.col("id").alias("b"), F.col("plain").alias("pb")), "b")
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("plain").alias("pa"), F.col("n").alias("na")), "a").join(
+            held.select(F.col("id").alias("b"), F.col("plain").alias("pb"), F.col("n").alias("nb")), "b")
+        # A set cannot be as similar to a much larger one; that spares most pairs the comparison.
+        both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         sets = F.struct(shingles(F.col("pa")).alias("x"), shingles(F.col("pb")).alias("y"))
         sizes = bind(sets, lambda s: F.struct(
             (F.size(s["x"]) + F.size(s["y"])).alias("all"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
         # One expression, as a filter on a computed column would be computed for each use.
         return both.where(bind(sizes, lambda z: 100 * z["common"] >= percent * (z["all"] - z["common"]))).select("a", "b")
 
-    roots = store.put(link(members, verify, refine, _agreeing() >= AGREEING, store), "roots")
+    roots = store.put(link(members, verify, refine, F.lit(True), store), "roots")
     joined = classes.join(roots, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", "id", "first", "times", F.coalesce("root", "id").alias("root"), F.col("node").isNotNull().alias("linked"))
     joined = store.put(joined.where("linked OR times > 1"), "joined")

@@ -6,10 +6,10 @@ DataFrame operations only.  Pairs within a bucket are never listed in full:
    the leader alone, and the pairs are verified exactly.
 2. Verified links join items to components.  A bucket whose members lie in one component needs
    no further work.
-3. The members of the other buckets get finer keys, of which two similar items share one, and
-   a crowd of half-similar items hardly any.  Under each of these keys the largest component is
-   the home; only members outside it are paired with members of other components, if the
-   pair fits, and verified.
+3. The members of the other buckets get finer keys, of which two similar items share one, or
+   the same keys again.  Under each of these keys the largest component is the home; only
+   members outside it are paired with members of other components, if the pair fits, and
+   verified.
 """
 
 from __future__ import annotations

@@ -168,6 +168,21 @@ def test_short_and_edited_lines_meet(spark):
         assert found_share(spark, edited_lines(kind, 400)) >= 0.995
 
 
+def test_similar_lines_in_a_crowd_of_half_similar_ones(spark):
+    """Every line has half of a common text, so buckets are mixed; the similar pairs among them are all found."""
+    draw, letters = random.Random(31), "abcdefghijklmnopqrstuvwxyz"
+    common = "".join(draw.choice(letters) for _ in range(150))
+    docs = []
+    for k in range(250):
+        own = common + "".join(draw.choice(letters) for _ in range(80))
+        # Single changes all over the line: 0.8 or little more of the short shingles stay, half of the long ones.
+        other = "".join("#" if i % 47 == 20 else c for i, c in enumerate(own))
+        docs.append((k, f"{own}\n{other}"))
+    assert all(100 * len(x & y) >= 80 * len(x | y) for x, y in (map(char_set, t.split("\n")) for _, t in docs))
+    got = fuzzy_lines.dedup_lines(frame(spark, docs))
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == Counter(deduped(docs))
+
+
 def repeats_removed(texts, size):
     docs = [WORD.findall(t or "") for _, t in texts]
     seen = Counter(tuple(w[k:k + size]) for w in docs for k in range(len(w) - size + 1))
