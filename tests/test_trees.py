@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.operators import tree
+from canvass.operators import grid, tree
 from canvass.operators.evaluation import roc_auc
 from canvass.operators.grid import Grid, best_candidate, fold_scores, rank_candidates
 
@@ -119,3 +119,22 @@ def test_fold_scores_with_missing_values(gaps):
 def test_depth_beyond_the_numbers_of_nodes_is_refused(rows):
     with pytest.raises(ValueError):
         tree.grow_trees(rows, ["x"], ["a", "b"], [tree.TreeSetting()], max_depth=tree.DEPTH_CAP + 1)
+
+
+@pytest.mark.parametrize("name", ["grid_search", "holdout_evaluation"])
+def test_registered_searches_are_full(spark, monkeypatch, name):
+    """320 candidates on 10 folds reach the search."""
+    from canvass.catalog.queries import REGISTRY
+    from canvass.plans import jobs
+
+    class Reached(Exception):
+        pass
+
+    def search(rows, key, numeric, indicators, asked, folds=None, **other):
+        assert len(asked.candidates()) == 320 and asked == grid.Grid() and folds == 10
+        raise Reached
+
+    monkeypatch.setattr(grid, "search", search)
+    monkeypatch.setattr(jobs, "search", search)
+    with pytest.raises(Reached):
+        REGISTRY[name](spark, "/root/testdata/sf0.001")
