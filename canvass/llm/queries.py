@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm import chat, decontaminate, fuzzy_lines, lm_score, main_text, near_dup, pieces, quality, shards, substrings
+from canvass.llm import chat, decontaminate, fuzzy_lines, language, lm_score, main_text, near_dup, pieces, prefix_trie, quality, ranked, shards, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words) AS kept
 FROM m
 """
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(terms) * n_docs) // n_terms AS m FROM d, s),
+x AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(
+      list_transform(range(0, length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, (i + 1)::INT, 1))::BIGINT),
+      lambda a, b: list_reduce(range(0, 8), lambda x, n: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)),
+      4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+r AS (
+  SELECT c, place, role, text FROM own JOIN k USING (c) WHERE place > h OR c = base
+  UNION ALL SELECT k.c, place, role, text FROM k JOIN own ON own.c = k.base WHERE k.c <> k.base AND place <= h),
+s AS (
+  SELECT c, d, text, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS node
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY place) AS d FROM r)
+  UNION ALL SELECT c, 0, '', '' FROM k),
+e AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS ends FROM s),
+n AS (
+  SELECT d, node, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved, count(*) = count(*) FILTER (ends) AS leaf,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY d, node),
+t AS (
+  SELECT s.d, s.node, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM n JOIN s ON s.c = n.conv_id AND s.d <= n.d GROUP BY s.d, s.node),
+g AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN t USING (d, node) LEFT JOIN g USING (d, node) LEFT JOIN n p ON p.d = n.d - 1 AND p.node = n.parent
+"""
