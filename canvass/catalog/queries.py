@@ -632,7 +632,8 @@ FIXED_TREE = [
 
 
 def fixed_model(spark, sf_dir) -> jobs.Model:
-    nodes = small_table(spark, FIXED_TREE, NODE_TABLE)
+    pointers = [(2 * r[0], 2 * r[0] + 1) if r[2] else (None, None) for r in FIXED_TREE]
+    nodes = small_table(spark, [(*r, *p) for r, p in zip(FIXED_TREE, pointers)], NODE_TABLE)
     return jobs.Model(encoding.fit_encoder(tables.contacts(spark, sf_dir)), nodes)
 
 
@@ -667,7 +668,7 @@ def truncated_tree_scores(spark, sf_dir):
     encoded = model.encoder.transform(tables.contacts(spark, sf_dir), keep=[KEY])
     kinds = [("depth", tree.truncate(model.nodes, max_depth=2)), ("size", tree.truncate(model.nodes, min_split=450))]
     return encoded.select(
-        KEY, *[tree.leaf_probability(tree.collect_nodes(nodes)).alias(f"p_{name}") for name, nodes in kinds]
+        KEY, *[tree.leaf_probability(nodes.collect()).alias(f"p_{name}") for name, nodes in kinds]
     )
 
 
@@ -701,7 +702,7 @@ def _train_part(spark, sf_dir) -> tuple[encoding.EncoderModel, DataFrame]:
 
 
 def _nodes_view(nodes: DataFrame) -> DataFrame:
-    return rounded(nodes, "threshold", "n_weighted", "p1")
+    return rounded(tree.numbered(nodes), "threshold", "n_weighted", "p1")
 
 
 @query
@@ -757,7 +758,7 @@ def _first_splits(rows, value):
     forest = tree.grow_trees(
         rows, PLAIN_NUMERIC, ("cellular", "telephone", "success", *PLAIN_FLAGS), settings, max_depth=2
     )
-    return forest.nodes.select(
+    return tree.numbered(forest.nodes).select(
         "tree", "node", "n0", "n1", "feature", F.when(F.col("threshold") == float("inf"), 1e300).otherwise(F.col("threshold")).alias("threshold"),
         r9(F.col("n1") * F.col("w1") / (F.col("n0") * F.col("w0") + F.col("n1") * F.col("w1"))).alias("p1"),
     )

@@ -1,137 +1,85 @@
-"""Candidate thresholds of numeric features, and rows as sparse arrays of bin codes."""
+"""Rows for tree growth: one array of doubles per row, and what its values mean.
+
+A numeric column is there as it is; a choice column holds the number of the chosen category, 0 for
+none.  Every value of a numeric column is a possible split, "value or less goes left"; how many
+there are does not matter, as nothing but the columns' names reaches the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.ordered import long_values
-from canvass.session import small_table
-
-MAX_BINS = 256
-
-
-# A code is feature position * 4096 + bin, so both come back by shifting.
-_SHIFT = 12
+from canvass.functions.ordered import long_values, running_totals
+from canvass.session import materialize, small_table
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Numbering of (feature, bin).
+    """Columns of the array: numeric ones, then choices.
 
-    Numeric features come first; the code of feature i always sits at place i of a row's
-    code array.  Its last bin holds missing values (null or NaN), which go right at every
-    threshold; the threshold "infinity" parts them from all others.  An indicator has one
-    code, present in the array when it is set.
+    ``following``: table (column, value, following) of all values of numeric columns with the next greater one,
+    null after the greatest.  ``features``: table (column, value, feature) naming the categories.
     """
 
-    numeric: tuple[tuple[str, tuple[float, ...]], ...]  # name, ascending thresholds
-    indicators: tuple[str, ...]
-
-    def split_table(self, spark: SparkSession) -> DataFrame:
-        """(code, feature, threshold) of every possible split: features x bins rows at most."""
-        rows = [
-            (code_number(i, b), name, float(t))
-            for i, (name, thresholds) in enumerate(self.numeric)
-            for b, t in enumerate((*thresholds, float("inf")))
-        ]
-        start = len(self.numeric)
-        rows += [(code_number(start + i, 1), name, 0.5) for i, name in enumerate(self.indicators)]
-        return small_table(spark, rows, "code int, feature string, threshold double")
-
-    @property
-    def first_indicator_code(self) -> int:
-        return code_number(len(self.numeric), 0)
-
-    def is_indicator(self, code: Column) -> Column:
-        return code >= self.first_indicator_code
-
-
-def code_number(feature: int, bin_number: int) -> int:
-    return (feature << _SHIFT) + bin_number
-
-
-def feature_position(code: Column) -> Column:
-    return F.shiftright(code, _SHIFT)
-
-
-def _thresholds(values: Sequence[float]) -> tuple[float, ...]:
-    return tuple((a + b) / 2 for a, b in zip(values, values[1:]))
-
-
-def candidate_thresholds(
-    df: DataFrame, columns: Sequence[str], max_bins: int = MAX_BINS
-) -> dict[str, tuple[float, ...]]:
-    """Midpoints between all distinct values where there are at most ``max_bins`` of them,
-    between approximate quantiles elsewhere.  At most ``max_bins`` numbers per column
-    reach the driver."""
-    shares = [(i + 0.5) / max_bins for i in range(max_bins)]
-    stats = df.agg(
-        *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{c}") for c in columns],
-        *[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")), shares, 10_000).alias(f"q_{c}") for c in columns],
-    ).first()
-    # The distinct counts are estimates: columns near the limit are counted exactly.
-    small = [c for c in columns if stats[f"d_{c}"] <= 2 * max_bins]
-    exact: dict[str, list[float]] = {}
-    if small:
-        values = long_values(df, small).distinct()
-        fits = values.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") <= max_bins)
-        for row in values.join(fits, "feature").select("feature", "value").collect():
-            exact.setdefault(row["feature"], []).append(row["value"])
-    return {
-        c: _thresholds(sorted(exact.get(c) or set(stats[f"q_{c}"] or ()))) for c in columns
-    }
-
-
-def make_layout(
-    df: DataFrame, numeric: Sequence[str], indicators: Sequence[str], max_bins: int = MAX_BINS
-) -> Layout:
-    if not 2 <= max_bins < (1 << _SHIFT) - 1:
-        raise ValueError(f"max_bins must be from 2 to {(1 << _SHIFT) - 2}")
-    found = candidate_thresholds(df, numeric, max_bins) if numeric else {}
-    # A constant column offers no split, unless some of its values are missing.
-    lacking = df.agg(*[F.bool_or(missing(n)).alias(n) for n in numeric]).first() if numeric else {}
-    return Layout(tuple((n, found[n]) for n in numeric if found[n] or lacking[n]), tuple(indicators))
-
-
-def missing(name: str) -> Column:
-    value = F.col(f"`{name}`").cast("double")
-    return value.isNull() | F.isnan(value)
-
-
-def code_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFrame:
-    """``keep`` columns and ``codes``: numeric codes in layout order, then set indicators.
-
-    The bin of a value is the number of thresholds below it, so ``value <= threshold``
-    means left.  Bucketizer's intervals are closed on the left; binning the negated value
-    closes them on the right.
-    """
-    out, codes = df, []
-    if layout.numeric:
-        out = df.select(
-            "*", *[F.when(~missing(name), -F.col(f"`{name}`").cast("double")).alias(f"_neg{i}") for i, (name, _) in enumerate(layout.numeric)]
+    numeric: tuple[str, ...]
+    choices: tuple[str, ...]
+    following: DataFrame
+    features: DataFrame
+
+    def is_choice(self, column: Column) -> Column:
+        return column >= len(self.numeric)
+
+    def named(self, splits: DataFrame) -> DataFrame:
+        """``splits`` (column, value, ...) with ``feature`` and ``threshold`` in place of both.
+
+        The threshold is the middle between the value and the next one; where that is no number between
+        them (neighbouring or endless values), the value itself.  After the greatest value it is infinite, which
+        parts the missing values from all others.
+        """
+        middle = (F.col("value") + F.col("_after")) / 2
+        between = (middle >= F.col("value")) & (middle < F.col("_after"))
+        threshold = (
+            F.when(self.is_choice(F.col("column")), F.lit(0.5)).when(F.col("_after").isNull(), F.lit(float("inf")))
+            .otherwise(F.when(between, middle).otherwise(F.col("value")))
         )
-        out = Bucketizer(
-            inputCols=[f"_neg{i}" for i in range(len(layout.numeric))],
-            outputCols=[f"_bin{i}" for i in range(len(layout.numeric))],
-            splitsArray=[
-                [float("-inf"), *[-t for t in reversed(thresholds)], float("inf")]
-                for _, thresholds in layout.numeric
-            ],
-            handleInvalid="keep",
-        ).transform(out)
-        codes = [
-            F.when(missing(name), F.lit(code_number(i, len(thresholds) + 1)))
-            .otherwise(F.lit(code_number(i, len(thresholds))) - F.col(f"_bin{i}").cast("int"))
-            for i, (name, thresholds) in enumerate(layout.numeric)
-        ]
-    start = len(layout.numeric)
-    present = [
-        F.when(F.col(f"`{name}`") > 0.5, F.lit(code_number(start + i, 1)))
-        for i, name in enumerate(layout.indicators)
-    ]
-    return out.select(*keep, F.concat(F.array(*codes), F.array_compact(F.array(*present))).cast("array<int>").alias("codes"))
+        numeric = F.try_element_at(F.array(*[F.lit(n) for n in self.numeric]).cast("array<string>"), F.col("column") + 1)
+        after = self.following.select("column", "value", F.col("following").alias("_after"))
+        names = self.features.select("column", "value", F.col("feature").alias("_name"))
+        # Few splits against large tables: equi-joins on both columns.
+        joined = splits.join(after, ["column", "value"], "left").join(names, ["column", "value"], "left")
+        return joined.withColumns({"feature": F.coalesce("_name", numeric), "threshold": threshold}).drop("_after", "_name", "column", "value")
+
+
+def value_array(numeric: Sequence[Column], choices: Sequence[Column]) -> Column:
+    """The array of a row.  Missing numbers (null or NaN) become NaN, which goes right everywhere."""
+    numbers = [F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in numeric]
+    return F.array(*numbers, *[F.coalesce(c.cast("double"), F.lit(0.0)) for c in choices]).cast("array<double>").alias("x")
+
+
+def following_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, following): all distinct values of each column with the next greater one."""
+    schema = "column int, value double, following double"
+    if not columns:
+        return small_table(df.sparkSession, [], schema)
+    number = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")) - 1
+    values = long_values(df, columns).distinct().select(number.cast("int").alias("column"), "value", F.col("value").alias("own"))
+    return running_totals(values, ["column"], "value", ["own"]).select("column", "value", F.col("next.own").alias("following"))
+
+
+def make_layout(df: DataFrame, numeric: Sequence[str], indicators: Sequence[str]) -> Layout:
+    """Layout of a table with one column per indicator."""
+    names = [(len(numeric) + i, 1.0, name) for i, name in enumerate(indicators)]
+    return Layout(
+        tuple(numeric), tuple(indicators), materialize(following_values(df, numeric), "following"),
+        small_table(df.sparkSession, names, "column int, value double, feature string"),
+    )
+
+
+def array_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFrame:
+    """``keep`` columns and ``x``, of a table as for :func:`make_layout`."""
+    flags = [F.when(F.col(f"`{n}`") > 0.5, 1.0) for n in layout.choices]
+    return df.select(*keep, value_array([F.col(f"`{n}`") for n in layout.numeric], flags))

@@ -1,11 +1,12 @@
 """Decision trees as node tables: training, truncation, scoring.
 
-``grow_trees`` trains many trees at once, level by level, as DataFrame aggregations:
-rows carry the region ("cell") they are in, histograms are counted per cell and bin, and
-each tree picks its best split from them.  Trees of one fold that made the same splits so
-far share their cells, so a grid of settings costs little more than one tree near the
-root.  Validation rows are routed along with the training rows, so the node table holds
-the counts needed to score every fold without another pass.
+``grow_trees`` trains many trees at once, level by level, as DataFrame aggregations.  A row is stored
+once and carries the regions ("cells") it is in; trees of one fold that made the same splits so far share
+their cells, so a grid of settings costs little more than one tree near the root.  Values are counted per cell and
+column, each tree picks its best split from the running counts, and the rows' cells move on.  Held-out rows are
+routed along with the training rows, so the node table holds the counts needed to score every fold without another pass.
+
+There is no bound on the number of split points, levels or nodes: only settings and folds reach the driver.
 """
 
 from __future__ import annotations
@@ -16,20 +17,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canvass.operators.binning import MAX_BINS, Layout, code_rows, feature_position, make_layout
-from canvass.session import materialize, scratch_path, small_table
+from canvass.functions.ordered import running_totals
+from canvass.operators.binning import Layout, array_rows, make_layout
+from canvass.session import discard, materialize, scratch_path, small_table, written
 from canvass.spec import NODE_TABLE
 
-DEPTH_CAP = 60  # heap numbers of nodes fit into 64 bits up to here
-LIBRARY_DEPTH = 30  # most that Spark's own learner can do
+NO_LIMIT = 2**31 - 1
 CASE_NODES = 200  # above this a nested CASE outgrows one generated method
-MODEL_NODES = 1_000_000  # bound of a tree that is sent to the tasks for scoring
+WALK_NODES = 1_000_000  # up to here a tree is sent to the tasks; beyond, rows and nodes meet in joins
+#: Cells of more rows: running counts go digit by digit instead of through one window group.
+WIDE_CELL = 1 << 20
+#: Children of cells of more rows: the larger one is the parent less the smaller one.
+DERIVE_CELL = 1 << 15
+ROOT = 1
 _COUNTS = ("n0", "n1", "v0", "v1")
+_KINDS = ("h0", "h1", "g0", "g1")
+_NODE = ("tree", "node", "cell", "left_out", "depth", "parent_n", *_COUNTS)
 _SETTING = ("criterion", "min_leaf", "w0", "w1")
 
 
@@ -51,7 +57,7 @@ class Forest:
     """Result of ``grow_trees``.
 
     ``nodes``: tree, node, depth, parent_n, n0, n1 (training rows per class), v0, v1
-    (validation rows), feature, threshold, w0, w1 (class weights).
+    (validation rows), feature, threshold, left, right, w0, w1 (class weights).
     """
 
     nodes: DataFrame
@@ -77,7 +83,6 @@ def grow_trees(
     label: str = "label",
     fold: str | None = None,
     folds: int = 0,
-    max_bins: int = MAX_BINS,
     layout: Layout | None = None,
     **limits,
 ) -> Forest:
@@ -86,32 +91,28 @@ def grow_trees(
     ``layout`` fixes the candidate splits; by default they come from ``df``.  ``limits``
     are ``max_depth`` and ``min_split``.
     """
-    layout = layout or make_layout(df, numeric, indicators, max_bins)
+    layout = layout or make_layout(df, numeric, indicators)
     keep = [F.col(label).alias("label"), *([F.col(fold).alias("fold")] if fold else [])]
-    return grow_coded(code_rows(df, layout, keep), layout, settings, folds, **limits)
+    return grow_arrays(array_rows(df, layout, keep), layout, settings, folds, **limits)
 
 
-def grow_coded(
-    coded: DataFrame,
+def grow_arrays(
+    rows: DataFrame,
     layout: Layout,
     settings: Sequence[TreeSetting],
     folds: int = 0,
     max_depth: int | None = None,
     min_split: int = 2,
 ) -> Forest:
-    """``grow_trees`` from rows of (label, codes), and (fold) when ``folds`` are left out.
+    """``grow_trees`` from rows of (label, x), and (fold) when ``folds`` are left out.
 
-    Deterministic for given thresholds: ties go to the first feature and the lowest threshold.
-    "No depth limit" grows until nothing can be split, and fails beyond ``DEPTH_CAP`` levels.
+    Deterministic: ties go to the first column and the lowest value.  Without ``max_depth`` it grows until nothing can be split.
     """
-    spark = coded.sparkSession
-    if max_depth is not None and max_depth > DEPTH_CAP:
-        raise ValueError(f"max_depth must be at most {DEPTH_CAP}")
-    depth_limit = DEPTH_CAP if max_depth is None else max_depth
+    spark = rows.sparkSession
     fold_number = F.col("fold") if folds else F.lit(-1)
     base = materialize(
-        coded.select(F.col("label").cast("int").alias("label"), fold_number.cast("int").alias("fold"), "codes"),
-        "tree-rows",
+        rows.select(F.monotonically_increasing_id().alias("row"), F.col("label").cast("int").alias("label"), fold_number.cast("int").alias("fold"), "x"),
+        "tree-base",
     )
 
     # One root cell per fold, or a single one.  Class counts are folds x 2 numbers.
@@ -119,10 +120,6 @@ def grow_coded(
     sizes = {(r["fold"], r["label"]): r["count"] for r in base.groupBy("fold", "label").count().collect()}
     held = {c: [sizes.get((c, y), 0) for y in (0, 1)] for c in cells}
     classes = [sum(n for (_, y), n in sizes.items() if y == wanted) for wanted in (0, 1)]
-    every_cell = F.explode(F.array(*[F.lit(c).cast("bigint") for c in cells])).alias("cell")
-    rows = base.select(every_cell, "fold", "label", "codes").select(
-        "cell", (F.col("fold") == F.col("cell")).alias("held_out"), "label", "codes"
-    )
 
     trees, roots = [], []
     for c in cells:
@@ -133,124 +130,168 @@ def grow_coded(
                 tree=len(trees), fold=c if folds else None, criterion=s.criterion,
                 balanced=s.balanced, min_leaf=s.min_leaf, w0=w[0], w1=w[1],
             ))
-            roots.append((len(roots), 1, c, 0, None, *n, *held[c], s.criterion, s.min_leaf, *map(float, w)))
+            roots.append((len(roots), ROOT, c, c, 0, None, *n, *held[c], s.criterion, s.min_leaf, *map(float, w)))
     # settings x folds rows
     root_rows = small_table(
-        spark,
-        roots,
-        "tree int, node bigint, cell bigint, depth int, parent_n bigint, n0 bigint, n1 bigint, "
+        spark, roots,
+        "tree int, node bigint, cell bigint, left_out int, depth int, parent_n bigint, n0 bigint, n1 bigint, "
         "v0 bigint, v1 bigint, criterion string, min_leaf int, w0 double, w1 double",
     )
 
-    divisible = F.expr(f"n0 > 0 AND n1 > 0 AND n0 + n1 >= {min_split}")
-    splittable = divisible & (F.col("depth") < depth_limit)
-    open_nodes, found = root_rows.where(splittable), []
-    for depth in range(depth_limit):
+    limits = (min_split, NO_LIMIT if max_depth is None else max_depth)
+    open_nodes = root_rows.where(_goes_on(F.col("n0"), F.col("n1"), F.col("depth"), *limits))
+    every_root = F.array(*[
+        F.struct(F.lit(c).cast("bigint").alias("cell"), F.lit(c).alias("left_out"), F.lit(True).alias("counted")) for c in cells])
+    state, children, carried = base.withColumn("cells", every_root), None, None
+    folder, levels, paths = scratch_path(spark, "tree-splits"), 0, []
+    while True:
+        size = open_nodes.agg(F.max(F.col("n0") + F.col("n1") + F.col("v0") + F.col("v1"))).first()[0]
+        if size is None:
+            break
         # Every level is written: its plan does not grow with the depth, a lost executor
         # repeats one level at most, and joins see the true size of the node tables.
-        splits = materialize(_best_splits(rows, open_nodes, layout), f"tree-splits-{depth}")
-        found.append(splits)
-        following = _children(splits)
-        open_nodes = following.where(splittable)
-        if max_depth is None and depth == depth_limit - 1 and not following.where(divisible).isEmpty():
-            raise ValueError(f"the tree is deeper than {DEPTH_CAP} levels; set max_depth")
-        if depth == depth_limit - 1 or open_nodes.isEmpty():
-            break
-        rows = materialize(_route(rows, _routes(open_nodes), layout), f"tree-routed-{depth}")
+        fresh = []
+        if children is not None:
+            state, path = written(_route(state, base, children, layout), "tree-rows")
+            fresh.append(path)
+        counts, files = _histogram(state, layout, carried, children, size >= DERIVE_CELL)
+        level = os.path.join(folder, f"level={levels}")
+        _best_splits(counts, open_nodes, layout, size >= WIDE_CELL).write.parquet(level)
+        discard(spark, *paths)
+        paths, levels = fresh + files, levels + 1
+        carried = counts if size >= DERIVE_CELL else None
+        children = _children(spark.read.parquet(level), *limits)
+        open_nodes = children.where("goes_on")
+    discard(spark, *paths)
 
     node_columns = ["tree", "node", "depth", "parent_n", *_COUNTS, "w0", "w1"]
     nodes = root_rows.select(*node_columns)
-    if found:
-        splits = found[0]
-        for level in found[1:]:
-            splits = splits.unionByName(level)
-        cut = splits.select("tree", "node", "code").join(layout.split_table(spark), "code").drop("code")
-        nodes = nodes.unionByName(_children(splits).select(*node_columns)).join(cut, ["tree", "node"], "left")
+    if levels:
+        splits = spark.read.parquet(folder)
+        children = _children(splits, *limits)
+        _refuse_collisions(children)
+        cut = layout.named(splits.select("tree", "node", "column", "value")).withColumns({"left": _child_id("left"), "right": _child_id("right")})
+        nodes = nodes.unionByName(children.select(*node_columns)).join(cut, ["tree", "node"], "left")
     else:
-        nodes = nodes.select(
-            "*", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("threshold")
-        )
-    return Forest(materialize(nodes, "tree-nodes"), trees, layout, len(found), list(settings))
+        nodes = nodes.selectExpr("*", "CAST(NULL AS STRING) AS feature", "CAST(NULL AS DOUBLE) AS threshold", "CAST(NULL AS BIGINT) AS left", "CAST(NULL AS BIGINT) AS right")
+    return Forest(materialize(nodes, "tree-nodes"), trees, layout, levels, list(settings))
+
 
+def _goes_on(n0: Column, n1: Column, depth: Column, min_split: int, deepest: int) -> Column:
+    return (n0 > 0) & (n1 > 0) & (n0 + n1 >= min_split) & (depth < deepest)
 
-def _best_splits(rows: DataFrame, open_nodes: DataFrame, layout: Layout) -> DataFrame:
-    """Best split of each open node: the node with ``code`` and the left counts."""
+
+def _histogram(state: DataFrame, layout: Layout, carried: DataFrame | None, children: DataFrame | None, keep: bool) -> tuple[DataFrame, list[str]]:
+    """(cell, column, value, h0, h1, g0, g1): training and held-out rows per class; and the paths of what was written.
+
+    ``carried``: the counts of the level before, if large cells were among them.  Children that rows do not count
+    for are their parent less their sibling.
+    """
     kinds = {  # training rows per class, then held-out rows per class
-        "h0": ~F.col("held_out") & (F.col("label") == 0), "h1": ~F.col("held_out") & (F.col("label") == 1),
-        "g0": F.col("held_out") & (F.col("label") == 0), "g1": F.col("held_out") & (F.col("label") == 1),
+        n: F.count_if((F.col("held") == out) & (F.col("label") == y)) for n, out, y in zip(_KINDS, (False, False, True, True), (0, 1, 0, 1))
     }
-    hist = (
-        rows.select("cell", "held_out", "label", F.explode("codes").alias("code"))
-        .groupBy("cell", "code").agg(*[F.count_if(k).alias(n) for n, k in kinds.items()])
-        .withColumn("place", feature_position(F.col("code")))
-    )
-    # Running counts over the bins of one feature in one cell: at most max_bins rows.
-    upto = Window.partitionBy("cell", "place").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
-    running = hist.select("cell", "code", *[F.sum(c).over(upto).alias(c) for c in kinds])
-    # A set indicator goes right, so its left side is the rest of the node.
-    first = layout.first_indicator_code
-    left = [f"if(code >= {first}, {n} - {h}, {h}) AS l_{n}" for n, h in zip(_COUNTS, kinds)]
-    node = ["tree", "node", "cell", "depth", *_COUNTS, *_SETTING]
+    entries = state.select(F.explode(F.filter("cells", lambda c: c["counted"])).alias("c"), "label", "fold", "x").select(
+        F.col("c.cell").alias("cell"), (F.col("fold") == F.col("c.left_out")).alias("held"), "label", F.posexplode("x").alias("column", "value"))
+    entries = entries.where(~layout.is_choice(F.col("column")) | (F.col("value") != 0))
+    counts, files = entries.groupBy("cell", "column", "value").agg(*[k.alias(n) for n, k in kinds.items()]), []
+    if carried is not None:
+        counts, path = written(counts, "tree-counts")
+        files.append(path)
+        derived = children.where("NOT counted").select("parent_cell", "sibling", F.col("cell").alias("larger")).distinct()
+        place = [F.col("larger").alias("cell"), "column", "value"]
+        whole = carried.join(derived.select(F.col("parent_cell").alias("cell"), "larger"), "cell").select(*place, *_KINDS)
+        part = counts.join(derived.select(F.col("sibling").alias("cell"), "larger"), "cell").select(*place, *[(-F.col(n)).alias(n) for n in _KINDS])
+        rest = whole.unionByName(part).groupBy("cell", "column", "value").agg(*[F.sum(n).alias(n) for n in _KINDS])
+        counts = counts.unionByName(rest.where("h0 + h1 + g0 + g1 > 0"))
+    if keep:
+        counts, path = written(counts, "tree-histogram")
+        files.append(path)
+    return counts, files
+
+
+def _best_splits(counts: DataFrame, open_nodes: DataFrame, layout: Layout, wide: bool) -> DataFrame:
+    """Best split of each open node: the node with ``column``, ``value`` and the left counts."""
+    numbers = counts.where(~layout.is_choice(F.col("column")) & ~F.isnan("value"))
+    if wide:
+        upto = running_totals(numbers, ["cell", "column"], "value", list(_KINDS))
+        left = upto.select("cell", "column", "value", *[(F.col(k) + F.col(f"{k}_before")).alias(k) for k in _KINDS])
+    else:
+        # A cell has WIDE_CELL rows at most here, so a group has no more.
+        order = Window.partitionBy("cell", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        left = numbers.select("cell", "column", "value", *[F.sum(k).over(order).alias(k) for k in _KINDS])
+    # A chosen category goes right, so its left side is the rest of the node.
+    chosen = counts.where(layout.is_choice(F.col("column")))
+    sides = left.withColumn("rest", F.lit(False)).unionByName(chosen.withColumn("rest", F.lit(True)))
+    node = ["tree", "node", "cell", *_COUNTS, *_SETTING]
     candidates = (
-        running.join(open_nodes.select(*node), "cell")
-        .selectExpr(*node, "code", *left)
+        sides.join(open_nodes.select(*node), "cell")
+        .selectExpr(*node, "column", "value", *[f"if(rest, {n} - {k}, {k}) AS l_{n}" for n, k in zip(_COUNTS, _KINDS)])
         .where("l_n0 + l_n1 >= min_leaf AND n0 + n1 - l_n0 - l_n1 >= min_leaf")
     )
-    sides = ("l_n0 * w0", "l_n1 * w1"), ("(n0 - l_n0) * w0", "(n1 - l_n1) * w1")
-    cost = " + ".join(_impurity(f"({a})", f"({b})") for a, b in sides)
+    parts = ("l_n0 * w0", "l_n1 * w1"), ("(n0 - l_n0) * w0", "(n1 - l_n1) * w1")
+    cost = " + ".join(_impurity(f"({a})", f"({b})") for a, b in parts)
     pick = ", ".join(f"l_{n}" for n in _COUNTS)
-    return (
-        candidates.selectExpr("*", f"{cost} AS cost")
-        .groupBy(*node)
-        .agg(F.expr(f"min_by(struct(code, {pick}), struct(cost, code))").alias("best"))
-        .select(*node, "best.*")
-    )
+    best = candidates.selectExpr("tree", "node", "column", "value", *[f"l_{n}" for n in _COUNTS], f"{cost} AS cost")
+    best = best.groupBy("tree", "node").agg(F.expr(f"min_by(struct(column, value, {pick}), struct(cost, column, value))").alias("best"))
+    return open_nodes.select(*_NODE, *_SETTING).join(best.select("tree", "node", "best.*"), ["tree", "node"])
+
+
+def _child_id(side: str) -> Column:
+    return F.xxhash64("node", F.lit(side))
 
 
-def _children(splits: DataFrame) -> DataFrame:
-    """The two child nodes of every split, with their counts and the way to get there."""
-    def child(side: str, offset: int) -> Column:
-        is_left = side == "left"
-        counts = [(F.col(f"l_{n}") if is_left else F.col(n) - F.col(f"l_{n}")).alias(n) for n in _COUNTS]
+def _children(splits: DataFrame, min_split: int, deepest: int) -> DataFrame:
+    """The two child nodes of every split, with their counts and the way to get there.
+
+    ``goes_on``: can be split again.  ``counted``: rows count for the cell themselves; of two children of a large
+    cell that both go on, the larger one is derived from parent and sibling instead.
+    """
+    counts = {left: [F.col(f"l_{n}") if left else F.col(n) - F.col(f"l_{n}") for n in _COUNTS] for left in (True, False)}
+    rows = {left: sum(c[1:], c[0]) for left, c in counts.items()}
+    depth = F.col("depth") + 1
+    goes_on = {left: _goes_on(c[0], c[1], depth, min_split, deepest) for left, c in counts.items()}
+    pair = (rows[True] + rows[False] >= DERIVE_CELL) & goes_on[True] & goes_on[False]
+
+    def child(left: bool) -> Column:
+        larger = (rows[left] > rows[not left]) if left else (rows[left] >= rows[not left])
         return F.struct(
-            (F.col("node") * 2 + offset).alias("node"),
-            F.xxhash64("cell", "code", F.lit(side)).alias("cell"),
-            F.col("cell").alias("parent_cell"), "code", F.lit(is_left).alias("goes_left"),
-            (F.col("depth") + 1).alias("depth"), (F.col("n0") + F.col("n1")).alias("parent_n"), *counts,
+            _child_id("left" if left else "right").alias("node"), _child_cell(left).alias("cell"), _child_cell(not left).alias("sibling"),
+            F.col("cell").alias("parent_cell"), "left_out", "column", "value", F.lit(left).alias("goes_left"), depth.alias("depth"),
+            (F.col("n0") + F.col("n1")).alias("parent_n"), *[c.alias(n) for c, n in zip(counts[left], _COUNTS)],
+            goes_on[left].alias("goes_on"), (~(pair & larger)).alias("counted"),
         )
 
-    pair = F.array(child("left", 0), child("right", 1))
-    return splits.select("tree", *_SETTING, F.explode(pair).alias("c")).select("tree", *_SETTING, "c.*")
+    return splits.select("tree", *_SETTING, F.explode(F.array(child(True), child(False))).alias("c")).select("tree", *_SETTING, "c.*")
 
 
-def _routes(open_nodes: DataFrame) -> DataFrame:
-    """(cell, code, goes_left, child) for every child some tree goes on with.
+def _child_cell(left: bool) -> Column:
+    return F.xxhash64("cell", "column", "value", F.lit(left))
 
-    Cells are 64-bit hashes of the way to them; should two ways ever meet in one number,
-    the job fails instead of mixing their rows.
-    """
-    way = F.struct(F.col("parent_cell").alias("cell"), "code", "goes_left")
-    ways = open_nodes.groupBy(F.col("cell").alias("child")).agg(F.min(way).alias("way"), F.max(way).alias("other"))
-    message = F.raise_error(F.lit("two tree regions got the same 64-bit number"))
-    one_way = F.when(F.col("way") == F.col("other"), F.col("child")).otherwise(message.cast("bigint"))
-    return ways.select("way.*", one_way.alias("child"))
+
+def _refuse_collisions(children: DataFrame) -> None:
+    """Cells are 64-bit hashes of the way to them; should two ways meet in one number, fail instead of mixing rows."""
+    way = F.struct("parent_cell", "column", "value", "goes_left")
+    if not children.groupBy("cell").agg(F.min(way).alias("a"), F.max(way).alias("b")).where("a <> b").isEmpty():
+        raise RuntimeError("two tree regions got the same 64-bit number")
 
 
-def _route(rows: DataFrame, routes: DataFrame, layout: Layout) -> DataFrame:
-    """Move rows into the child cells; rows of finished cells drop out.
+def _route(state: DataFrame, base: DataFrame, children: DataFrame, layout: Layout) -> DataFrame:
+    """Rows with the cells they are in on the next level, one row each; rows of finished cells only drop out.
 
-    The planner broadcasts ``routes`` while its files are small.  Beyond that it is a
-    shuffled join, where adaptive execution splits a cell that holds most of the rows.
+    The planner broadcasts the ways while their files are small.  Beyond that it is a shuffled join, where
+    adaptive execution splits a cell that holds most of the rows.
     """
-    code = F.col("code")
-    stays_left = F.when(layout.is_indicator(code), ~F.array_contains("codes", code)).otherwise(
-        F.try_element_at("codes", feature_position(code) + 1) <= code
-    )
-    return (
-        rows.join(routes, "cell")
+    ways = children.where("goes_on").groupBy(F.col("parent_cell").alias("cell"), "column", "value", "goes_left").agg(
+        F.any_value(F.struct(F.col("cell"), "left_out", "counted")).alias("child"))
+    here = F.try_element_at("x", F.col("column") + 1)
+    stays_left = F.when(layout.is_choice(F.col("column")), here != F.col("value")).otherwise(here <= F.col("value"))
+    moved = (
+        state.select("row", "x", F.explode("cells.cell").alias("cell")).join(ways, "cell")
         .where(stays_left == F.col("goes_left"))
-        .select(F.col("child").alias("cell"), "held_out", "label", "codes")
+        # As many cells as there are settings and folds, at most.
+        .groupBy("row").agg(F.collect_list("child").alias("cells"))
     )
+    return base.join(moved, "row")
 
 
 def node_table(forest: Forest, tree: int = 0) -> DataFrame:
@@ -258,7 +299,7 @@ def node_table(forest: Forest, tree: int = 0) -> DataFrame:
     a, b = F.col("n0") * F.col("w0"), F.col("n1") * F.col("w1")
     return forest.nodes.where(F.col("tree") == tree).select(
         "node", "depth", "feature", "threshold", (F.col("n0") + F.col("n1")).alias("n"),
-        (a + b).alias("n_weighted"), F.coalesce(F.try_divide(b, a + b), F.lit(0.0)).alias("p1"), "parent_n",
+        (a + b).alias("n_weighted"), F.coalesce(F.try_divide(b, a + b), F.lit(0.0)).alias("p1"), "parent_n", "left", "right",
     )
 
 
@@ -280,74 +321,23 @@ def truncate(nodes: DataFrame, max_depth: int | None = None, min_split: int = 2)
     Splits are greedy and depend on the rows of the node only, so a tree with smaller
     limits is the deep tree with the nodes beyond them cut off.
     """
-    limit, size = F.lit(DEPTH_CAP if max_depth is None else max_depth), F.lit(min_split)
+    limit, size = F.lit(NO_LIMIT if max_depth is None else max_depth), F.lit(min_split)
     inner = is_inner(limit, size)
-    return nodes.where(is_reachable(limit, size)).select(
-        "node", "depth", F.when(inner, F.col("feature")).alias("feature"),
-        F.when(inner, F.col("threshold")).alias("threshold"), "n", "n_weighted", "p1", "parent_n",
-    )
+    kept = {c: F.when(inner, F.col(c)) for c in ("feature", "threshold", "left", "right")}
+    return nodes.where(is_reachable(limit, size)).withColumns(kept)
 
 
-def fit_gini_tree(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str = "label",
-    weight: str | None = None,
-    max_depth: int | None = None,
-    min_leaf: int = 1,
-    max_bins: int = MAX_BINS,
-    seed: int = 42,
-) -> DataFrame:
-    """Gini tree by Spark's regression tree, as a node table.
-
-    On a 0/1 label variance ranks splits as gini does and the prediction is the class
-    share.  (Spark's classification tree merges sibling leaves of the same class, which
-    would lose the probabilities.)
-    """
-    spark = df.sparkSession
-    names = list(features)
-    # Plain positions as names: feature names contain dots.
-    narrow = df.select(
-        *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(names)],
-        F.col(label).cast("double").alias("label"),
-        *([F.col(weight).alias("weight")] if weight else []),
-    )
-    assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(narrow)
-    learner = DecisionTreeRegressor(
-        maxDepth=LIBRARY_DEPTH if max_depth is None else max_depth, minInstancesPerNode=min_leaf,
-        maxBins=max_bins, seed=seed, minWeightFractionPerNode=0.0,
-    )
-    if weight:
-        learner = learner.setWeightCol("weight")
-    path = scratch_path(spark, "gini-tree")
-    learner.fit(assembled).write().save(path)
-    saved = spark.read.parquet(os.path.join(path, "data"))
-    return _spark_tree_nodes(saved, names)
-
-
-def _spark_tree_nodes(saved: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Node table of a saved Spark tree; its nodes are numbered in preorder."""
-    spark = saved.sparkSession
-    body = saved.select("nodeData.*") if "nodeData" in saved.columns else saved
-    rows = body.select(
-        "id", "leftChild", "rightChild", "prediction", "rawCount", F.get("impurityStats", F.lit(0)).alias("w"),
-        F.col("split.featureIndex").alias("f"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("t"),
-    ).limit(MODEL_NODES + 1).collect()
-    if len(rows) > MODEL_NODES:
-        raise ValueError(f"tree has more than {MODEL_NODES} nodes")
-    by_id, out, todo = {r["id"]: r for r in rows}, [], [(0, 1, 0, None)]
-    while todo:
-        i, node, depth, parent_n = todo.pop()
-        r = by_id[i]
-        inner = r["leftChild"] >= 0
-        out.append((
-            node, depth, names[r["f"]] if inner else None, float(r["t"]) if inner else None,
-            int(r["rawCount"]), float(r["w"]), float(r["prediction"]), parent_n,
-        ))
-        if inner:
-            todo += [(r["leftChild"], 2 * node, depth + 1, int(r["rawCount"])),
-                     (r["rightChild"], 2 * node + 1, depth + 1, int(r["rawCount"]))]
-    return small_table(spark, out, NODE_TABLE)
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Node tables with heap numbers: the root is 1, the children of i are 2i and 2i + 1.  For trees of up to 60 levels."""
+    keys = [c for c in ("tree",) if c in nodes.columns]
+    step, found = nodes.where("depth = 0").select(*keys, "node", "left", "right", F.lit(1).cast("bigint").alias("number")), None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] + 1):
+        found = step.select(*keys, "node", "number") if found is None else found.unionByName(step.select(*keys, "node", "number"))
+        below = step.select(*keys, F.inline(F.array(
+            F.struct(F.col("left").alias("node"), (2 * F.col("number")).alias("number")),
+            F.struct(F.col("right").alias("node"), (2 * F.col("number") + 1).alias("number")))))
+        step = nodes.where(F.col("depth") == depth + 1).select(*keys, "node", "left", "right").join(below, [*keys, "node"])
+    return nodes.join(found, [*keys, "node"]).drop("node", "left", "right").withColumnRenamed("number", "node")
 
 
 def save_tree(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -355,26 +345,27 @@ def save_tree(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def load_tree(spark: SparkSession, path: str) -> DataFrame:
-    """A missing path raises Spark's ``AnalysisException``."""
-    return spark.read.schema(NODE_TABLE).parquet(path)
-
-
-def collect_nodes(nodes: DataFrame) -> list:
-    """The nodes of one tree, refused beyond the size that can be sent to every task."""
-    rows = nodes.select("node", "feature", "threshold", "p1").limit(MODEL_NODES + 1).collect()
-    if len(rows) > MODEL_NODES:
-        raise ValueError(f"tree has more than {MODEL_NODES} nodes")
-    return rows
+    """A missing path raises Spark's ``AnalysisException``.  Older tables have heap numbers and no pointers."""
+    nodes, inner = spark.read.schema(NODE_TABLE).parquet(path), F.col("feature").isNotNull()
+    return nodes.withColumns({
+        side: F.coalesce(side, F.when(inner, 2 * F.col("node") + i)) for i, side in enumerate(("left", "right"))})
 
 
 def leaf_probability(rows: Sequence, case_nodes: int = CASE_NODES) -> Column:
     """Probability of a row under a collected tree, as a column over the feature columns."""
     by_node = {r["node"]: r for r in rows}
-    if 1 not in by_node:
-        raise ValueError("the node table has no root")
+    root = _root(rows)
     if len(rows) <= case_nodes:
-        return _nested_case(by_node, 1)
-    return _walk(by_node)
+        return _nested_case(by_node, root)
+    return _walk(by_node, root)
+
+
+def _root(rows: Sequence) -> int:
+    children = {r[side] for r in rows for side in ("left", "right")}
+    roots = [r["node"] for r in rows if r["node"] not in children]
+    if len(roots) != 1:
+        raise ValueError(f"the node table has {len(roots)} roots")
+    return roots[0]
 
 
 def _nested_case(by_node: dict, node: int) -> Column:
@@ -382,10 +373,10 @@ def _nested_case(by_node: dict, node: int) -> Column:
     if r["feature"] is None:
         return F.lit(float(r["p1"]))
     goes_left = F.col(f"`{r['feature']}`") <= F.lit(float(r["threshold"]))
-    return F.when(goes_left, _nested_case(by_node, 2 * node)).otherwise(_nested_case(by_node, 2 * node + 1))
+    return F.when(goes_left, _nested_case(by_node, r["left"])).otherwise(_nested_case(by_node, r["right"]))
 
 
-def _walk(by_node: dict) -> Column:
+def _walk(by_node: dict, start: int) -> Column:
     """Arrow-batched walk down a large tree: one array lookup per level for a whole batch."""
     used = sorted({r["feature"] for r in by_node.values() if r["feature"] is not None})
     place = {node: i for i, node in enumerate(by_node)}
@@ -394,10 +385,9 @@ def _walk(by_node: dict) -> Column:
     inner = np.array([r["feature"] is not None for r in values])
     feature = np.array([column.get(r["feature"], 0) for r in values])
     threshold = np.array([r["threshold"] if r["feature"] is not None else np.inf for r in values], float)
-    left = np.array([place[2 * r["node"]] if r["feature"] is not None else place[r["node"]] for r in values])
-    right = np.array([place[2 * r["node"] + 1] if r["feature"] is not None else place[r["node"]] for r in values])
+    left, right = (np.array([place[r[side] if r["feature"] is not None else r["node"]] for r in values]) for side in ("left", "right"))
     p1 = np.array([r["p1"] for r in values], float)
-    root = place[1]
+    root = place[start]
 
     @F.pandas_udf("double")
     def walk(*columns: pd.Series) -> pd.Series:
@@ -414,10 +404,46 @@ def _walk(by_node: dict) -> Column:
     return walk(*[F.col(f"`{f}`") for f in used])
 
 
-def score(df: DataFrame, nodes: DataFrame | Sequence, keep: Sequence[str] | None = None, case_nodes: int = CASE_NODES) -> DataFrame:
-    """Adds ``p`` and ``prediction`` (1 when p > 0.5, so a tie is class 0)."""
-    rows = collect_nodes(nodes) if isinstance(nodes, DataFrame) else nodes
-    columns = ["*"] if keep is None else [F.col(f"`{k}`") for k in keep]
-    return df.select(*columns, leaf_probability(rows, case_nodes).alias("p")).withColumn(
-        "prediction", F.when(F.col("p") > 0.5, 1).otherwise(0)
-    )
+def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataFrame:
+    """``keep`` columns and ``p``: rows and nodes meet level by level, rows that reach a leaf leave.
+
+    No node reaches the driver or all tasks.  Features are the columns of ``df``; a level is written, so
+    its plan does not grow with the depth.
+    """
+    spark = df.sparkSession
+    nodes, paths = materialize(nodes, "tree-table"), []
+    used = [r["feature"] for r in nodes.select("feature").where("feature IS NOT NULL").distinct().collect()]  # columns of df, at most
+    start = nodes.where("depth = 0").select(F.col("node").alias("_at"))
+    kept = F.struct(*keep).alias("_keep")
+    state = df.select(kept, F.array(*[F.col(f"`{f}`").cast("double") for f in used]).cast("array<double>").alias("_x")).join(F.broadcast(start), how="cross")
+    place = F.array_position(F.array(*[F.lit(f) for f in used]).cast("array<string>"), F.col("feature")).cast("int").alias("_place")
+    folder, depth = scratch_path(spark, "tree-scores"), 0
+    while True:
+        level = nodes.where(F.col("depth") == depth).select(F.col("node").alias("_at"), place, "threshold", "p1", "left", "right")
+        met = state.join(level, "_at")
+        met.where("left IS NULL").select("_keep", F.col("p1").alias("p")).write.parquet(os.path.join(folder, f"level={depth}"))
+        goes_left = F.try_element_at("_x", F.col("_place")) <= F.col("threshold")
+        state, path = written(met.where("left IS NOT NULL").select("_keep", "_x", F.when(goes_left, F.col("left")).otherwise(F.col("right")).alias("_at")), "tree-walk")
+        discard(spark, *paths)
+        paths, depth = [path], depth + 1
+        if state.isEmpty():
+            return spark.read.parquet(folder).select("_keep.*", "p")
+
+
+def score(
+    df: DataFrame, nodes: DataFrame | Sequence, keep: Sequence[str] | None = None, case_nodes: int = CASE_NODES, walk_nodes: int = WALK_NODES,
+) -> DataFrame:
+    """Adds ``p`` and ``prediction`` (1 when p > 0.5, so a tie is class 0).
+
+    Up to ``walk_nodes`` nodes are sent to the tasks; a larger tree is scored by joins, with equal results.
+    """
+    names = df.columns if keep is None else keep
+    columns = [F.col(f"`{k}`") for k in names]
+    rows = nodes
+    if isinstance(nodes, DataFrame):
+        rows = nodes.select("node", "feature", "threshold", "p1", "left", "right").limit(walk_nodes + 1).collect()
+    if isinstance(nodes, DataFrame) and len(rows) > walk_nodes:
+        out = _by_levels(df, nodes, columns)
+    else:
+        out = df.select(*columns, leaf_probability(rows, case_nodes).alias("p"))
+    return out.withColumn("prediction", F.when(F.col("p") > 0.5, 1).otherwise(0))

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from canvass.operators.binning import MAX_BINS
 from canvass.operators.encoding import EncoderModel, fit_encoder, load_encoder
 from canvass.operators.evaluation import curve_rows, metrics_bundle
 from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search
 from canvass.operators.projection import labelled
 from canvass.operators.splitting import stratified_split
-from canvass.operators.tree import TreeSetting, grow_trees, load_tree, node_table, save_tree, score, truncate
+from canvass.operators.tree import TreeSetting, grow_trees, load_tree, node_table, save_tree, score
 from canvass.operators.validation import accepted, check, probability_valid, quarantined
 from canvass.session import materialize
 from canvass.sources.history import append_history, append_metrics, metrics_records, prediction_records
@@ -68,7 +67,6 @@ def train_and_select(
     fit_on: str = "all",
     model_name: str = DEFAULT_MODEL_NAME,
     timestamp: str | None = None,
-    max_bins: int = MAX_BINS,
 ) -> Training:
     """Encode, split, search the grid by cross-validated ROC-AUC, refit, test.
 
@@ -85,7 +83,7 @@ def train_and_select(
     encoded = materialize(encoder.transform(parts, keep=[spec.key, "label", "part"]), "encoded")
     train = encoded.where(F.col("part") == "train")
     numeric, indicators = split_kinds(encoder)
-    scores, forest = search(train, spec.key, numeric, indicators, grid, folds=folds, seed=seed, max_bins=max_bins)
+    scores, forest = search(train, spec.key, numeric, indicators, grid, folds=folds, seed=seed)
     ranked = materialize(rank_candidates(scores), "candidates")
     winner = best_candidate(ranked).first()["candidate"]
     best = next(c for c in grid.candidates() if c["candidate"] == winner)
@@ -127,10 +125,6 @@ def evaluate_holdout(
     return bundle
 
 
-def truncated(model: Model, max_depth: int | None = None, min_split: int = 2) -> Model:
-    return Model(model.encoder, truncate(model.nodes, max_depth, min_split))
-
-
 def score_requests(
     requests: DataFrame,
     model: Model,

@@ -63,6 +63,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """:func:`materialize`, and the path for :func:`discard`."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch tables that no later step reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """Fitted parameters as a DataFrame.
 

@@ -169,7 +169,7 @@ def prediction_history_schema(spec: FeatureSpec = CAMPAIGN, key_type: T.DataType
 
 
 # The schema of the node table that describes a fitted tree (rule: value <= threshold
-# goes left).  ``node`` is the heap number: children of i are 2i and 2i+1.
+# goes left).  The root has depth 0; ``left`` and ``right`` are the children's ``node``, null in leaves.
 NODE_TABLE = T.StructType([
     T.StructField("node", T.LongType(), False),
     T.StructField("depth", T.IntegerType(), False),
@@ -179,4 +179,6 @@ NODE_TABLE = T.StructType([
     T.StructField("n_weighted", T.DoubleType(), False),
     T.StructField("p1", T.DoubleType(), False),
     T.StructField("parent_n", T.LongType()),
+    T.StructField("left", T.LongType()),
+    T.StructField("right", T.LongType()),
 ])

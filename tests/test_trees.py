@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,22 +40,101 @@ def test_truncation_equals_refit(rows):
     assert table(tree.truncate(deep, min_split=150)) == table(grown(rows, 5, split=150))
 
 
-def test_leaf_size_and_trainers_agree(rows):
+def by_hand(data, depth=None, split=2, leaf=1, criterion="gini"):
+    """The tree of (x values, label) rows by brute force, as leaf paths: (path of (column, threshold, side)) -> (n0, n1)."""
+    values = [sorted({x[c] for x, _ in data if x[c] is not None}) for c in range(len(data[0][0]))]
+
+    def size_impurity(rows):
+        n = len(rows)
+        ones = sum(y for _, y in rows)
+        if criterion == "gini":
+            return n - (ones**2 + (n - ones) ** 2) / n
+        return -sum(k * math.log2(k / n) for k in (ones, n - ones) if k)
+
+    def left(x, c, t):
+        return x[c] is not None and x[c] <= t
+
+    def grow(rows, path):
+        ones, best = sum(y for _, y in rows), None
+        if 0 < ones < len(rows) and len(rows) >= split and (depth is None or len(path) < depth):
+            for c, known in enumerate(values):
+                for v, following in zip(known, known[1:] + [math.inf]):
+                    sides = [r for r in rows if left(r[0], c, v)], [r for r in rows if not left(r[0], c, v)]
+                    if min(map(len, sides)) >= leaf:
+                        cost = round(sum(map(size_impurity, sides)), 9)
+                        if best is None or cost < best[0]:
+                            middle = (v + following) / 2
+                            best = cost, c, middle if v <= middle < following or following == math.inf else v, sides
+        if best is None:
+            return {path: (len(rows) - ones, ones)}
+        _, c, t, sides = best
+        return grow(sides[0], path + ((c, t, "l"),)) | grow(sides[1], path + ((c, t, "r"),))
+
+    return grow(data, ())
+
+
+def leaf_paths(nodes, names):
+    by_node = {r["node"]: r for r in nodes.collect()}
+    out, todo = {}, [(next(r for r in by_node.values() if r["depth"] == 0), ())]
+    while todo:
+        r, path = todo.pop()
+        if r["feature"] is None:
+            ones = round(r["p1"] * r["n"])
+            out[path] = (r["n"] - ones, ones)
+        else:
+            at = (names.index(r["feature"]), r["threshold"])
+            todo += [(by_node[r["left"]], path + ((*at, "l"),)), (by_node[r["right"]], path + ((*at, "r"),))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def fine(spark):
+    """500 rows: a column without repeated values, one with infinities, one constant where it is not missing, a flag."""
+    draw = random.Random(4)
+    data = []
+    for i in range(500):
+        x = [round(draw.gauss(0, 1), 6), draw.choice([math.inf, -math.inf, 0.0, 1.0, 2.0]), draw.choice([None, 7.0]), float(draw.random() < 0.3)]
+        signal = (x[0] > 0.2) + (x[1] > 1) + (x[2] is None) + x[3]
+        data.append((x, int(signal + draw.random() > 1.9)))
+    return data, spark.createDataFrame([(*x, y) for x, y in data], "a double, b double, c double, d double, label int").repartition(3).cache()
+
+
+@pytest.mark.parametrize("criterion, limits", [("gini", {}), ("entropy", {"leaf": 4, "split": 12}), ("gini", {"depth": 3, "leaf": 30})])
+@pytest.mark.parametrize("wide, derive", [(tree.WIDE_CELL, tree.DERIVE_CELL), (1, 20)])
+def test_all_midpoints_against_brute_force(fine, monkeypatch, criterion, limits, wide, derive):
+    """Also with totals digit by digit, and with larger siblings derived."""
+    monkeypatch.setattr(tree, "WIDE_CELL", wide)
+    monkeypatch.setattr(tree, "DERIVE_CELL", derive)
+    data, frame = fine
+    setting = tree.TreeSetting(criterion, False, limits.get("leaf", 1))
+    forest = tree.grow_trees(frame, ["a", "b", "c"], ["d"], [setting], max_depth=limits.get("depth"), min_split=limits.get("split", 2))
+    want = {tuple((c, 0.5 if c == 3 else t, s) for c, t, s in p): n for p, n in by_hand(data, criterion=criterion, **limits).items()}
+    assert leaf_paths(tree.node_table(forest), ["a", "b", "c", "d"]) == want
+
+
+def test_a_chain_beyond_64_levels(spark):
+    """Every split takes one value off: a tree of 65 levels and more is searched and scored."""
+    levels = 66
+    data = spark.createDataFrame(
+        [(1000 * i + k, float(i), i % 2) for i in range(levels + 1) for k in range(1 + 3 * (levels - i))], "id long, x double, label int").coalesce(1).cache()
+    forest = grid.search(data, "id", ["x"], [], Grid((False,), ("gini",), (None,), (1,), (2,)), folds=2)[1]
+    nodes = tree.node_table(forest)
+    assert nodes.agg(F.max("depth")).first()[0] > 60
+    walk = tree.score(data, nodes, keep=["id"], case_nodes=0).orderBy("id").collect()
+    assert walk == tree.score(data, nodes, keep=["id"], walk_nodes=1).orderBy("id").collect()
+
+
+def test_leaf_size(rows):
     nodes = grown(rows, 3, leaf=20)
     assert min(r["n"] for r in nodes.collect()) >= 20
-    mine, other = (
-        roc_auc(tree.score(rows, n), few_scores=True).first()["auc_roc"]
-        for n in (nodes, tree.fit_gini_tree(rows, ["x", "a", "b"], max_depth=3, min_leaf=20))
-    )
-    assert mine == pytest.approx(other, abs=0.02)
 
 
 def test_case_and_walk_agree_and_a_tie_is_class_zero(rows, spark):
     nodes = grown(rows, 4, criterion="entropy")
     a = tree.score(rows, nodes, keep=["id"]).orderBy("id").collect()
     b = tree.score(rows, nodes, keep=["id"], case_nodes=0).orderBy("id").collect()
-    assert a == b
-    single = spark.createDataFrame([(1, 0, None, None, 2, 2.0, 0.5, None)], tree.NODE_TABLE)
+    assert a == b == tree.score(rows, nodes, keep=["id"], walk_nodes=3).orderBy("id").collect()
+    single = spark.createDataFrame([(1, 0, None, None, 2, 2.0, 0.5, None, None, None)], tree.NODE_TABLE)
     assert {r["prediction"] for r in tree.score(rows, single).collect()} == {0}
 
 
@@ -91,16 +173,16 @@ def gaps(rows):
 def test_missing_values_split_and_score(gaps, depth):
     nodes = grown(gaps, depth)
     by_node = {r["node"]: r for r in nodes.collect()}
-    for number, r in by_node.items():
-        inner = 2 * number in by_node
-        assert inner == (2 * number + 1 in by_node) == (r["feature"] is not None)
+    for r in by_node.values():
+        inner = r["left"] in by_node
+        assert inner == (r["right"] in by_node) == (r["feature"] is not None)
         if inner:
-            assert r["threshold"] is not None and r["n"] == by_node[2 * number]["n"] + by_node[2 * number + 1]["n"]
+            assert r["threshold"] is not None and r["n"] == by_node[r["left"]]["n"] + by_node[r["right"]]["n"]
     # Rescoring finds as many rows, and the class share, of each leaf.
     leaves = [(round(r["p1"], 9), r["n"]) for k, r in by_node.items() if r["feature"] is None]
     want = {p: sum(n for q, n in leaves if q == p) for p, _ in leaves}
-    for cases in (200, 0):
-        got = tree.score(gaps, nodes, keep=["id"], case_nodes=cases).groupBy(F.round("p", 9).alias("p")).count().collect()
+    for how in ({}, {"case_nodes": 0}, {"walk_nodes": 1}):
+        got = tree.score(gaps, nodes, keep=["id"], **how).groupBy(F.round("p", 9).alias("p")).count().collect()
         assert {r["p"]: r["count"] for r in got} == want
 
 
@@ -116,11 +198,6 @@ def test_fold_scores_with_missing_values(gaps):
         assert scores[fold, "test"] == pytest.approx(roc_auc(held, few_scores=True).first()["auc_roc"])
 
 
-def test_depth_beyond_the_numbers_of_nodes_is_refused(rows):
-    with pytest.raises(ValueError):
-        tree.grow_trees(rows, ["x"], ["a", "b"], [tree.TreeSetting()], max_depth=tree.DEPTH_CAP + 1)
-
-
 @pytest.mark.parametrize("name", ["grid_search", "holdout_evaluation"])
 def test_registered_searches_are_full(spark, monkeypatch, name):
     """320 candidates on 10 folds reach the search."""
