@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from canvass.catalog import tree_sql
+
 CONTACTS = """contacts AS (
 SELECT o_orderkey AS contact_id, o_orderdate AS contact_ts,
  CAST(18 + (o_custkey * 7 + 3) % 70 AS INT) AS age,
@@ -420,6 +422,22 @@ FROM contacts, params"""
 SELECT tn + fp + fn + tp AS n, {SCALARS}, round(auc, 9) AS auc_roc, '2024-01-01 00:00:00' AS timestamp FROM m, a"""
     s["tree_first_splits"] = TREE
     s["tree_with_missing"] = _tree_with_missing()
+    flags = {f"cat__{c}_{v}": f"{marked(c)} = '{v}'" for c, v in INDICATORS}
+    train = f"{with_parts}, {SCALER}, {PARAMS}, train AS (SELECT parts.*, params.*, y AS label FROM parts, params WHERE part = 'train')"
+    encoded = {f"num__{c}": scaled(c) for c in NUMERIC}
+    for criterion in ("gini", "entropy"):
+        s[f"tree_{criterion}"] = f"{train}, {tree_sql.grown('train', encoded, flags, [(criterion, False, 1)], 5)}\nSELECT {tree_sql.NODE_COLUMNS} FROM nodes"
+    leaves = (1, 2, 4, 8)
+    s["tree_size_limits"] = f"{train}, {tree_sql.grown('train', encoded, flags, [('gini', False, m) for m in leaves], 8)}\n{tree_sql.cut_counts(leaves, (3, 5, 8), (2, 20))}"
+    four = [(c, b, 5) for c in ("gini", "entropy") for b in (False, True)]
+    labelled = f"{with_contacts}, labelled AS (SELECT *, CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS label FROM contacts)"
+    s["tree_all_midpoints"] = f"{labelled}, {tree_sql.grown('labelled', {c: c for c in NUMERIC}, flags, four, 4)}\nSELECT {tree_sql.SPLIT_COLUMNS} FROM nodes"
+    odd = {
+        "balance": "CASE WHEN contact_id % 7 <> 0 THEN balance END", "constant": "CASE WHEN duration % 5 <> 0 THEN 1.0 END",
+        "duration": "CASE WHEN duration > 3000 THEN CAST('infinity' AS DOUBLE) WHEN duration < 300 THEN CAST('-infinity' AS DOUBLE) ELSE duration END",
+        "sign": "CASE WHEN day > 20 THEN CAST('infinity' AS DOUBLE) ELSE CAST('-infinity' AS DOUBLE) END",
+    }
+    s["tree_odd_numbers"] = f"{labelled}, {tree_sql.grown('labelled', odd, {}, four, 4)}\nSELECT {tree_sql.SPLIT_COLUMNS} FROM nodes"
     s["grid_rank"] = f"""WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, round(st, 9) AS std_test_score, round(mr, 9) AS mean_train_score, round(sr, 9) AS std_train_score,
  rk AS rank_test_score FROM ranks"""
     s["grid_best"] = f"WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, rk AS rank_test_score FROM ranks ORDER BY rk, candidate LIMIT 1"

@@ -723,7 +723,7 @@ def tree_entropy(spark, sf_dir):
 def tree_size_limits(spark, sf_dir):
     """One deep tree per leaf size, cut at several depths and split sizes: node counts."""
     encoder, train = _train_part(spark, sf_dir)
-    settings = [tree.TreeSetting("gini", False, m) for m in (1, 8)]
+    settings = [tree.TreeSetting("gini", False, m) for m in (1, 2, 4, 8)]
     forest = tree.grow_trees(train, *jobs.split_kinds(encoder), settings, max_depth=8)
     out = None
     for t in forest.trees:
@@ -776,6 +776,38 @@ def tree_with_missing(spark, sf_dir):
     return _first_splits(labelled(spark, sf_dir), lambda i, c: F.when(F.col(KEY) % 7 != i, F.col(c)))
 
 
+FOUR_TREES = [tree.TreeSetting(c, b, 5) for c in ("gini", "entropy") for b in (False, True)]
+
+
+def _split_view(forest: tree.Forest) -> DataFrame:
+    shown = F.when(F.col("threshold") == float("inf"), 1e300).when(F.col("threshold") == float("-inf"), -1e300).otherwise(F.col("threshold"))
+    return tree.numbered(forest.nodes).select(
+        "tree", "node", "n0", "n1", "feature", shown.alias("threshold"),
+        r9(F.col("n1") * F.col("w1") / (F.col("n0") * F.col("w0") + F.col("n1") * F.col("w1"))).alias("p1"),
+    )
+
+
+@query
+def tree_all_midpoints(spark, sf_dir):
+    """Trees over all numeric columns, as many split points as values, and all categories."""
+    rows = labelled(spark, sf_dir)
+    encoder = encoding.fit_encoder(rows)
+    wide = materialize(encoder.transform(rows, keep=["label", *CAMPAIGN.numeric]), "wide")
+    return _split_view(tree.grow_trees(wide, CAMPAIGN.numeric, jobs.split_kinds(encoder)[1], FOUR_TREES, max_depth=4))
+
+
+@query
+def tree_odd_numbers(spark, sf_dir):
+    """Trees over columns with missing and endless values, one of them constant but for missing values."""
+    endless = float("inf")
+    rows = labelled(spark, sf_dir).select(
+        "label", F.when(F.col(KEY) % 7 != 0, F.col("balance")).alias("balance"), F.when(F.col("duration") % 5 != 0, 1.0).alias("constant"),
+        F.when(F.col("duration") > 3000, endless).when(F.col("duration") < 300, -endless).otherwise(F.col("duration")).alias("duration"),
+        F.when(F.col("day") > 20, endless).otherwise(-endless).alias("sign"),
+    )
+    return _split_view(tree.grow_trees(rows, ["balance", "constant", "duration", "sign"], [], FOUR_TREES, max_depth=4))
+
+
 @query
 def grid_search(spark, sf_dir):
     """Cross-validated scores of all 320 candidates on 10 folds of the training part."""
