@@ -38,7 +38,8 @@ from canvass.llm.store import Store
 from canvass.llm.words import slices, text_bytes
 from canvass.session import small_table
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every ASCII character by itself: a class of single characters is one table look-up, one of ranges costs ten times as much.
+TERM = "[^" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER = "".join(map(chr, range(65, 91)))
 PACKET = 1 << 18
 #: Terms of a stratum that go to one task.
@@ -48,7 +49,6 @@ PAIRS = 1 << 13
 TILE = 1 << 22
 #: Up to so many terms of an item, sums of w * impact are exact in doubles: w < 2^15, impact < 2^20.
 EXACT = 1 << 18
-_LIST = pa.list_(pa.int32())
 _RUNS = "run_term array<int>, run_tf array<int>, run_end array<int>, places array<int>"
 PACKETS = f"m long, docs array<long>, terms array<string>, {_RUNS}"
 HITS = f"m long, docs array<long>, terms array<int>, held array<int>, {_RUNS}"
@@ -76,8 +76,8 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.schema(PACKETS).parquet(os.path.join(path, "packets")), totals["n_docs"], totals["n_terms"])
 
 
-def _edges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes (0 between terms), offsets of the texts, and where terms open and close."""
+def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of a text column one after the other, and the place of each text's first one."""
     raw, offsets = text_bytes(column)
     folded = _FOLD[raw]
     n = len(raw)
@@ -87,21 +87,9 @@ def _edges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     edges = offsets[(offsets > 0) & (offsets < n)]
     opens[edges] = inside[1:-1][edges]
     closes[edges - 1] = inside[1:-1][edges - 1]
-    return folded, offsets, opens, closes
-
-
-def term_counts(column: pa.Array) -> np.ndarray:
-    """Terms of each text, with repeats."""
-    _, offsets, opens, _ = _edges(column)
-    return np.diff(np.searchsorted(np.flatnonzero(opens), offsets))
-
-
-def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All terms of a text column one after the other, and the place of each text's first one."""
-    folded, offsets, opens, closes = _edges(column)
     starts = np.flatnonzero(opens)
     ends = np.concatenate([[0], np.cumsum(np.flatnonzero(closes) + 1 - starts)]).astype(np.int64)
-    data = folded[folded != 0]
+    data = folded[inside[1:-1]]
     terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data))
     return terms, np.searchsorted(starts, offsets)
 
@@ -128,22 +116,6 @@ def _packet(m: int, ids: pa.Array, terms: pa.Array, first: np.ndarray) -> pa.Rec
     ], names=["m", "docs", "terms", "run_term", "run_tf", "run_end", "places"])
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts have how many terms."""
-    for batch in batches:
-        for a, b in slices(batch.column(0)):
-            n, docs = np.unique(term_counts(batch.column(0).slice(a, b - a)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(docs)], names=["n", "docs"])
-
-
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, with the number of their terms."""
-    for batch in batches:
-        for a, b in slices(batch.column(1)):
-            ids, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([ids, texts, pa.array(term_counts(texts))], names=["doc_id", "text", "n"])
-
-
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         strata = batch.column(0).to_numpy()
@@ -161,15 +133,15 @@ def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(documents: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index of all rows with a term; the packets are written to the shared folder."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = rows.select("text").mapInArrow(_lengths, "n long, docs long").where("n > 0")
-    lengths = store.put(counted.groupBy("n").agg(F.sum("docs").alias("docs")), "lengths")
+    rows = rows.withColumn("n", F.regexp_count("text", F.lit(TERM)).cast("long")).where("n > 0")
+    lengths = store.put(rows.groupBy("n").agg(F.count("*").alias("docs")), "lengths")
     n_docs, n_terms = lengths.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n"))).first()
     if not n_docs:
         return Index(documents.sparkSession.createDataFrame([], PACKETS), 0, 0)
     # One row per length: as many as the longest text has terms, at most.
     strata = lengths.withColumn("m", F.expr(f"100 - 90 + (90 * n * {n_docs}L) div {n_terms}L"))
     room = strata.groupBy("m").agg(F.ceil(F.sum(F.col("docs") * F.col("n")) / DEALT).alias("parts"))
-    dealt = rows.mapInArrow(_measured, "doc_id long, text string, n long").join(strata.join(room, "m").select("n", "m", "parts"), "n")
+    dealt = rows.join(strata.join(room, "m").select("n", "m", "parts"), "n")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), "parts")).select("m", "doc_id", "text", "part")
     ordered = dealt.repartition("m", "part").sortWithinPartitions("m", "part").select("m", "doc_id", "text")
     return Index(store.put(ordered.mapInArrow(_packets, PACKETS), "packets"), n_docs, n_terms)
