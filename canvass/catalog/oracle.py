@@ -438,6 +438,12 @@ SELECT tn + fp + fn + tp AS n, {SCALARS}, round(auc, 9) AS auc_roc, '2024-01-01
         "sign": "CASE WHEN day > 20 THEN CAST('infinity' AS DOUBLE) ELSE CAST('-infinity' AS DOUBLE) END",
     }
     s["tree_odd_numbers"] = f"{labelled}, {tree_sql.grown('labelled', odd, {}, four, 4)}\nSELECT {tree_sql.SPLIT_COLUMNS} FROM nodes"
+    many = tree_sql.grown(
+        "labelled", {"num__age": f"({scaled('age')})", "num__duration": f"({scaled('duration')})"}, {}, [("gini", False, 1), ("entropy", True, 3)], 4,
+        {"branch": "concat('b', CAST(contact_id % 20011 AS VARCHAR))", "job": marked("job")})
+    with_params = f"{with_contacts}, {SCALER}, {PARAMS}, labelled AS (SELECT *, CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS label FROM contacts, params)"
+    s["encode_many_categories"] = f"{with_params}, {many}\nSELECT {tree_sql.SPLIT_COLUMNS} FROM nodes"
+    s["score_many_categories"] = f"{with_params}, {many}\nSELECT {tree_sql.LEAF_COUNTS} FROM nodes WHERE tree = 1 AND feature IS NULL GROUP BY 1"
     s["grid_rank"] = f"""WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, round(st, 9) AS std_test_score, round(mr, 9) AS mean_train_score, round(sr, 9) AS std_train_score,
  rk AS rank_test_score FROM ranks"""
     s["grid_best"] = f"WITH {JOB_FOLDS} SELECT candidate, round(mt, 9) AS mean_test_score, rk AS rank_test_score FROM ranks ORDER BY rk, candidate LIMIT 1"

@@ -19,7 +19,7 @@ from canvass.plans import jobs
 from canvass.session import materialize, scratch_path, small_table
 from canvass.sources import history as store
 from canvass.sources import tables
-from canvass.spec import CAMPAIGN, METRIC_FIELDS, NODE_TABLE
+from canvass.spec import CAMPAIGN, METRIC_FIELDS, NODE_TABLE, FeatureSpec
 from canvass.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,10 +666,8 @@ def truncated_tree_scores(spark, sf_dir):
     """The fixed tree cut at depth 2, and at 450 rows per split."""
     model = fixed_model(spark, sf_dir)
     encoded = model.encoder.transform(tables.contacts(spark, sf_dir), keep=[KEY])
-    kinds = [("depth", tree.truncate(model.nodes, max_depth=2)), ("size", tree.truncate(model.nodes, min_split=450))]
-    return encoded.select(
-        KEY, *[tree.leaf_probability(nodes.collect()).alias(f"p_{name}") for name, nodes in kinds]
-    )
+    first = tree.score(encoded, tree.truncate(model.nodes, max_depth=2)).drop("prediction").withColumnRenamed("p", "p_depth")
+    return tree.score(first, tree.truncate(model.nodes, min_split=450), keep=[KEY, "p_depth"]).select(KEY, "p_depth", F.col("p").alias("p_size"))
 
 
 @query
@@ -808,12 +806,43 @@ def tree_odd_numbers(spark, sf_dir):
     return _split_view(tree.grow_trees(rows, ["balance", "constant", "duration", "sign"], [], FOUR_TREES, max_depth=4))
 
 
+#: A column with about as many categories as there are rows, beside a small one.
+BRANCHES = FeatureSpec(key=KEY, numeric=("age", "duration"), categorical=("branch", "job"), target="deposit", rules=())
+
+
+def _branch_trees(spark, sf_dir) -> tuple[DataFrame, encoding.EncoderModel, tree.Forest]:
+    rows = labelled(spark, sf_dir).withColumn("branch", F.concat(F.lit("b"), (F.col(KEY) % 20011).cast("string")))
+    encoder = encoding.fit_encoder(rows, BRANCHES)
+    coded = materialize(encoder.coded(rows, keep=["label"]), "coded")
+    settings = [tree.TreeSetting("gini", False, 1), tree.TreeSetting("entropy", True, 3)]
+    return rows, encoder, tree.grow_arrays(coded, encoder.layout(coded), settings, max_depth=4)
+
+
+@query
+def encode_many_categories(spark, sf_dir):
+    """Trees over a key-like column: its categories are positions in a table, not columns."""
+    return _split_view(_branch_trees(spark, sf_dir)[2])
+
+
+@query
+def score_many_categories(spark, sf_dir):
+    """The rows of each leaf, scored from the raw table with a saved and loaded model."""
+    rows, encoder, forest = _branch_trees(spark, sf_dir)
+    path = scratch_path(spark, "branches")
+    jobs.Model(encoder, tree.node_table(forest, 1)).save(path)
+    scores = jobs.load_model(spark, path, BRANCHES).score(rows, keep=[KEY])
+    return scores.groupBy(r9("p").alias("p")).agg(F.count("*").alias("n"))
+
+
 @query
 def grid_search(spark, sf_dir):
     """Cross-validated scores of all 320 candidates on 10 folds of the training part."""
     full = grid.Grid()
-    encoder, train = _train_part(spark, sf_dir)
-    scores, _ = grid.search(train, KEY, *jobs.split_kinds(encoder), full, folds=10)
+    rows = labelled(spark, sf_dir)
+    encoder = encoding.fit_encoder(rows)
+    parts = splitting.stratified_split(rows, KEY).where(F.col("part") == "train")
+    train = materialize(encoder.coded(parts, keep=[KEY, "label"]), "train")
+    scores, _ = grid.search_arrays(train, KEY, encoder.layout(train), full, folds=10)
     ranked = grid.candidate_table(spark, full).join(grid.rank_candidates(scores), "candidate")
     return rounded(ranked, "mean_test_score", "std_test_score", "mean_train_score", "std_train_score")
 

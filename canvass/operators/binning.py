@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.functions.ordered import long_values, running_totals
+from canvass.functions.ordered import running_totals
 from canvass.session import materialize, small_table
 
 
@@ -60,23 +60,23 @@ def value_array(numeric: Sequence[Column], choices: Sequence[Column]) -> Column:
     return F.array(*numbers, *[F.coalesce(c.cast("double"), F.lit(0.0)) for c in choices]).cast("array<double>").alias("x")
 
 
-def following_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, following): all distinct values of each column with the next greater one."""
-    schema = "column int, value double, following double"
-    if not columns:
-        return small_table(df.sparkSession, [], schema)
-    number = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")) - 1
-    values = long_values(df, columns).distinct().select(number.cast("int").alias("column"), "value", F.col("value").alias("own"))
-    return running_totals(values, ["column"], "value", ["own"]).select("column", "value", F.col("next.own").alias("following"))
+def following_values(values: DataFrame) -> DataFrame:
+    """(column, value, following): all distinct values of (column, value) with the next greater one of the column."""
+    known = values.where("value IS NOT NULL AND NOT isnan(value)").distinct().withColumn("own", F.col("value"))
+    return running_totals(known, ["column"], "value", ["own"]).select("column", "value", F.col("next.own").alias("following"))
+
+
+def array_layout(rows: DataFrame, numeric: Sequence[str], choices: Sequence[str], features: DataFrame) -> Layout:
+    """Layout of rows with ``x``; ``features`` names the categories."""
+    values = rows.select(F.posexplode(F.slice("x", 1, len(numeric))).alias("column", "value")) if numeric else rows.limit(0).selectExpr("0 AS column", "0D AS value")
+    return Layout(tuple(numeric), tuple(choices), materialize(following_values(values), "following"), features)
 
 
 def make_layout(df: DataFrame, numeric: Sequence[str], indicators: Sequence[str]) -> Layout:
     """Layout of a table with one column per indicator."""
     names = [(len(numeric) + i, 1.0, name) for i, name in enumerate(indicators)]
-    return Layout(
-        tuple(numeric), tuple(indicators), materialize(following_values(df, numeric), "following"),
-        small_table(df.sparkSession, names, "column int, value double, feature string"),
-    )
+    features = small_table(df.sparkSession, names, "column int, value double, feature string")
+    return array_layout(df.select(value_array([F.col(f"`{n}`") for n in numeric], [])), numeric, indicators, features)
 
 
 def array_rows(df: DataFrame, layout: Layout, keep: Sequence[Column]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Feature encoding: exact robust scaling and drop-first indicators, fitted once.
 
-Fitted parameters are two small tables.  Their size is checked at fit time, so they can
-be inlined as literals and the transform stays one projection without joins.
+Columns of up to ``INLINE_CATEGORIES`` categories are inlined as literals, so for them the transform stays
+one projection without joins.  The vocabulary of a column with more is a table, whatever its size: the
+position of a category is found by a join, and a row holds positions instead of a column per category.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.ordered import exact_quantiles
+from canvass.operators.binning import Layout, array_layout, value_array
 from canvass.operators.projection import mark_unknown
-from canvass.session import small_table
+from canvass.session import materialize, small_table
 from canvass.spec import CAMPAIGN, FeatureSpec
 
-# Bound of the vocabulary that may be held as fitted parameters, and of the indicators
-# that may become columns of their own (generated code grows with each).
-MAX_CATEGORIES = 10_000
-MAX_INDICATOR_COLUMNS = 500
+# Categories of a column up to which they are literals (generated code grows with each), and
+# indicators that may become columns of their own in the wide form.
+INLINE_CATEGORIES = 200
+WIDE_INDICATORS = 500
 
 SCALER_SCHEMA = "position int, feature string, center double, scale double"
 VOCABULARY_SCHEMA = "feature string, category string, position int, is_baseline boolean"
@@ -69,19 +71,53 @@ def vocabulary(df: DataFrame, spec: FeatureSpec = CAMPAIGN) -> DataFrame:
     )
 
 
+def large_vocabulary(words: DataFrame) -> DataFrame:
+    """(feature, category, position) of any number of words, sorted without a one-task window.
+
+    Sorted ranges are written with their places inside; a category's position is its place and the sizes
+    of the ranges before, less those of the features before.
+    """
+    order = ["feature", F.col("category").asc_nulls_last()]
+    ranges = materialize(
+        words.repartitionByRange(*order).sortWithinPartitions(*order).select(
+            "feature", "category", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")),
+        "vocabulary",
+    )
+    # One row per range, one per column.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    placed = ranges.join(F.broadcast(offsets), "part").select("feature", "category", (F.col("before") + F.col("place")).alias("place"))
+    starts = placed.groupBy("feature").agg(F.min("place").alias("start"))
+    return placed.join(F.broadcast(starts), "feature").select("feature", "category", (F.col("place") - F.col("start")).cast("int").alias("position"))
+
+
 @dataclass(frozen=True)
 class EncoderModel:
-    """Fitted encoder: scaler rows (feature, center, scale), vocabulary rows."""
+    """Fitted encoder: scaler rows (feature, center, scale), and the vocabulary.
+
+    ``categories`` holds the columns with few categories; ``large`` is a table (feature, category, position) of the
+    others, ``large_sizes`` their numbers of categories.
+    """
 
     spec: FeatureSpec
     scaler: tuple[tuple[str, float | None, float | None], ...]
     categories: tuple[tuple[str, tuple[str | None, ...]], ...]
+    large: DataFrame | None = None
+    large_sizes: tuple[tuple[str, int], ...] = ()
 
     @property
     def feature_names(self) -> list[str]:
         """``num__<column>`` then ``cat__<column>_<category>``, without the baselines."""
-        numeric = [f"num__{c}" for c in self.spec.numeric]
-        return numeric + [f"cat__{c}_{_category_name(v)}" for c, v in self._indicators()]
+        self._refuse_large("feature_names")
+        return self.numeric_names + [f"cat__{c}_{_category_name(v)}" for c, v in self._indicators()]
+
+    @property
+    def numeric_names(self) -> list[str]:
+        return [f"num__{c}" for c in self.spec.numeric]
+
+    def _refuse_large(self, what: str) -> None:
+        if self.large_sizes:
+            raise ValueError(f"{what} lists every category; use coded() or transform_sparse() with large columns")
 
     def _indicators(self) -> list[tuple[str, str | None]]:
         found = dict(self.categories)
@@ -105,13 +141,9 @@ class EncoderModel:
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns and one double column per feature; an unseen category is all 0."""
-        indicators = self._indicators()
-        if len(indicators) > MAX_INDICATOR_COLUMNS:
-            raise ValueError(
-                f"{len(indicators)} indicator columns; use transform_sparse for more than "
-                f"{MAX_INDICATOR_COLUMNS}"
-            )
-        names = self.feature_names
+        names, indicators = self.feature_names, self._indicators()
+        if len(indicators) > WIDE_INDICATORS:
+            raise ValueError(f"{len(indicators)} indicator columns; use coded() or transform_sparse() for more than {WIDE_INDICATORS}")
         columns = [e.alias(n) for e, n in zip(self._scaled(), names)]
         for (column, value), name in zip(indicators, names[len(columns):]):
             here = F.col(f"`{column}`")
@@ -119,45 +151,84 @@ class EncoderModel:
             columns.append(F.when(hit, 1.0).otherwise(0.0).alias(name))
         return df.select(*[F.col(f"`{k}`") for k in keep], *columns)
 
+    def _positions(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """``df``, joined with the large vocabularies, and the position of each categorical column; null if unseen."""
+        found, positions = dict(self.categories), {}
+        sizes = dict(self.large_sizes)
+        for i, column in enumerate(self.spec.categorical):
+            here = F.col(f"`{column}`")
+            if column in sizes:
+                words = self.large.where(F.col("feature") == column).select(F.col("category").alias(f"_word{i}"), F.col("position").alias(f"_position{i}"))
+                meant = here.cast("string")
+                for token in self.spec.unknown_tokens:
+                    meant = F.when(here == token, f"unknown_{column}").otherwise(meant)
+                # A category that holds most rows is split by adaptive execution, small vocabularies are broadcast by the planner.
+                df = df.join(words, meant.eqNullSafe(F.col(f"_word{i}")), "left")
+                positions[column] = F.col(f"_position{i}")
+                continue
+            values = found.get(column, ())
+            lookup = {w: p for p, v in enumerate(values) for w in self._words(column, v)}
+            index = F.try_element_at(F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair]), here.cast("string")) if lookup else F.lit(None).cast("int")
+            if None in values:
+                index = F.when(here.isNull(), values.index(None)).otherwise(index)
+            positions[column] = index
+        return df, positions
+
+    def coded(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``keep`` columns and ``x``: scaled numbers, then per categorical column the category's position, 0 for baseline and unseen ones."""
+        joined, positions = self._positions(df)
+        return joined.select(*[F.col(f"`{k}`") for k in keep], value_array(self._scaled(), [positions[c] for c in self.spec.categorical]))
+
+    def features(self, spark: SparkSession) -> DataFrame:
+        """(column, value, feature): the place in ``x`` and the number of every feature; value is null for numeric ones."""
+        start = len(self.spec.numeric)
+        rows = [(i, None, n) for i, n in enumerate(self.numeric_names)]
+        found = dict(self.categories)
+        rows += [
+            (start + i, float(p), f"cat__{c}_{_category_name(v)}")
+            for i, c in enumerate(self.spec.categorical) for p, v in enumerate(found.get(c, ())) if p
+        ]
+        out = small_table(spark, rows, "column int, value double, feature string")
+        if self.large is None:
+            return out
+        number = F.array_position(F.array(*[F.lit(c) for c in self.spec.categorical]), F.col("feature")) - 1 + start
+        name = F.concat(F.lit("cat__"), "feature", F.lit("_"), F.coalesce("category", F.lit("nan")))
+        return out.unionByName(self.large.where("position > 0").select(
+            number.cast("int").alias("column"), F.col("position").cast("double").alias("value"), name.alias("feature")))
+
+    def layout(self, coded: DataFrame) -> Layout:
+        """The layout of rows from :meth:`coded`; their values are the possible splits."""
+        return array_layout(coded, self.numeric_names, self.spec.categorical, self.features(coded.sparkSession).where("value IS NOT NULL"))
+
+    def placed(self, nodes: DataFrame) -> DataFrame:
+        """A node table with the places of its features in ``x``."""
+        return nodes.join(self.features(nodes.sparkSession), "feature", "left")
+
     def transform_sparse(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns and ``features``: map from feature position to non-zero value.
 
-        One map lookup per categorical column, however many categories it has.
+        One lookup per categorical column, however many categories it has.
         """
         start = len(self.spec.numeric)
         entries = [
             F.struct(F.lit(i).alias("key"), e.alias("value")) for i, e in enumerate(self._scaled())
         ]
+        joined, positions = self._positions(df)
+        sizes = {c: len(v) for c, v in self.categories} | dict(self.large_sizes)
         for column in self.spec.categorical:
-            kept = dict(self.categories).get(column, ())[1:]
-            position, start = start, start + len(kept)
-            words = {w: position + i for i, v in enumerate(kept) for w in self._words(column, v)}
-            here = F.col(f"`{column}`")
-            index = F.lit(None).cast("int")
-            if words:
-                lookup = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-                index = F.try_element_at(lookup, here)
-            if None in kept:
-                index = F.when(here.isNull(), position + kept.index(None)).otherwise(index)
-            entries.append(
-                F.when(index.isNotNull(), F.struct(index.alias("key"), F.lit(1.0).alias("value")))
-            )
+            position = positions[column]
+            entries.append(F.when(position > 0, F.struct((position + (start - 1)).alias("key"), F.lit(1.0).alias("value"))))
+            start += max(sizes.get(column, 0) - 1, 0)
         nonzero = F.filter(F.array_compact(F.array(*entries)), lambda e: e["value"] != 0)
-        return df.select(
+        return joined.select(
             *[F.col(f"`{k}`") for k in keep], F.map_from_entries(nonzero).alias("features")
         )
 
     def unseen_categories(self, df: DataFrame) -> DataFrame:
         """(feature, rows, unseen): rows whose category was not seen at fit time."""
-        found = dict(self.categories)
-        counts = []
-        for c in self.spec.categorical:
-            here = F.col(f"`{c}`")
-            words = [w for v in found.get(c, ()) for w in self._words(c, v)]
-            known = here.isin(*words) if words else F.lit(False)
-            null_known = F.lit(None in found.get(c, ()))
-            counts.append(F.count_if(~F.when(here.isNull(), null_known).otherwise(known)).alias(c))
-        totals = df.agg(F.count("*").alias("_rows"), *counts)
+        joined, positions = self._positions(df)
+        counts = [F.count_if(positions[c].isNull()).alias(c) for c in self.spec.categorical]
+        totals = joined.agg(F.count("*").alias("_rows"), *counts)
         return totals.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col("_rows").alias("rows"), F.col(f"`{c}`").alias("unseen"))
             for c in self.spec.categorical
@@ -169,47 +240,50 @@ class EncoderModel:
 
     def vocabulary_table(self, spark: SparkSession) -> DataFrame:
         rows = [(f, v, i, i == 0) for f, values in self.categories for i, v in enumerate(values)]
-        return small_table(spark, rows, VOCABULARY_SCHEMA)
+        out = small_table(spark, rows, VOCABULARY_SCHEMA).coalesce(1)
+        return out if self.large is None else out.unionByName(self.large.withColumn("is_baseline", F.col("position") == 0))
 
     def names_table(self, spark: SparkSession) -> DataFrame:
         return small_table(spark, list(enumerate(self.feature_names)), "position int, feature string")
 
     def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
         self.scaler_table(spark).coalesce(1).write.mode(mode).parquet(os.path.join(path, "scaler_params"))
-        self.vocabulary_table(spark).coalesce(1).write.mode(mode).parquet(os.path.join(path, "vocab"))
+        self.vocabulary_table(spark).write.mode(mode).parquet(os.path.join(path, "vocab"))
 
 
 def _category_name(value: str | None) -> str:
     return "nan" if value is None else value
 
 
-def _model(spec: FeatureSpec, scaler_rows, vocabulary_rows) -> EncoderModel:
-    scaler = tuple((r["feature"], r["center"], r["scale"]) for r in sorted(scaler_rows, key=lambda r: r["position"]))
+def _model(spec: FeatureSpec, scaler_rows, words: DataFrame) -> EncoderModel:
+    """``words``: (feature, category, position), position null where it is still to be found."""
+    sizes = {r["feature"]: r["count"] for r in words.groupBy("feature").count().collect()}  # one row per column
+    many = sorted(c for c, n in sizes.items() if n > INLINE_CATEGORIES)
+    few = [c for c in sizes if c not in many]
     by_feature: dict[str, list] = {}
-    for r in sorted(vocabulary_rows, key=lambda r: r["position"]):
+    # INLINE_CATEGORIES rows per column, at most.
+    for r in words.where(F.col("feature").isin(few)).select("feature", "category").collect() if few else []:
         by_feature.setdefault(r["feature"], []).append(r["category"])
-    return EncoderModel(spec, scaler, tuple((c, tuple(by_feature.get(c, ()))) for c in spec.categorical))
+    # Spark orders strings by their UTF-8 bytes; nulls come last.
+    categories = tuple((c, tuple(sorted(by_feature.get(c, ()), key=lambda v: (v is None, (v or "").encode())))) for c in spec.categorical if c not in many)
+    scaler = tuple((r["feature"], r["center"], r["scale"]) for r in sorted(scaler_rows, key=lambda r: r["position"]))
+    if not many:
+        return EncoderModel(spec, scaler, categories)
+    large = words.where(F.col("feature").isin(many))
+    if "position" in words.columns:
+        large = large.select("feature", "category", "position")
+    else:
+        large = materialize(large_vocabulary(large), "large-vocabulary")
+    return EncoderModel(spec, scaler, categories, large, tuple((c, sizes[c]) for c in many))
 
 
 def fit_encoder(df: DataFrame, spec: FeatureSpec = CAMPAIGN, exact: bool = True) -> EncoderModel:
-    """Two aggregate jobs; what reaches the driver is columns + categories, checked."""
-    words = distinct_categories(df, spec).limit(MAX_CATEGORIES + 1).collect()
-    if len(words) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories; these columns are not categorical")
-    by_feature: dict[str, list] = {}
-    for w in words:
-        by_feature.setdefault(w["feature"], []).append(w["category"])
-    rows = [
-        {"feature": f, "category": v, "position": i}
-        # Spark orders strings by their UTF-8 bytes; nulls come last.
-        for f, values in by_feature.items()
-        for i, v in enumerate(sorted(values, key=lambda v: (v is None, (v or "").encode())))
-    ]
-    return _model(spec, robust_parameters(df, spec.numeric, exact).collect(), rows)
+    """What reaches the driver is columns and the categories of columns that have few."""
+    words = materialize(distinct_categories(df, spec), "words")
+    return _model(spec, robust_parameters(df, spec.numeric, exact).collect(), words)
 
 
 def load_encoder(spark: SparkSession, path: str, spec: FeatureSpec = CAMPAIGN) -> EncoderModel:
     """All that was saved; a missing path raises Spark's ``AnalysisException``."""
     scaler = spark.read.parquet(os.path.join(path, "scaler_params"))
-    words = spark.read.parquet(os.path.join(path, "vocab"))
-    return _model(spec, scaler.collect(), words.collect())
+    return _model(spec, scaler.collect(), spark.read.parquet(os.path.join(path, "vocab")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.ordered import running_totals
-from canvass.operators.binning import Layout, array_rows, make_layout
+from canvass.operators.binning import Layout, array_rows, make_layout, value_array
 from canvass.session import discard, materialize, scratch_path, small_table, written
 from canvass.spec import NODE_TABLE
 
@@ -351,16 +351,7 @@ def load_tree(spark: SparkSession, path: str) -> DataFrame:
         side: F.coalesce(side, F.when(inner, 2 * F.col("node") + i)) for i, side in enumerate(("left", "right"))})
 
 
-def leaf_probability(rows: Sequence, case_nodes: int = CASE_NODES) -> Column:
-    """Probability of a row under a collected tree, as a column over the feature columns."""
-    by_node = {r["node"]: r for r in rows}
-    root = _root(rows)
-    if len(rows) <= case_nodes:
-        return _nested_case(by_node, root)
-    return _walk(by_node, root)
-
-
-def _root(rows: Sequence) -> int:
+def _root(rows: Sequence[dict]) -> int:
     children = {r[side] for r in rows for side in ("left", "right")}
     roots = [r["node"] for r in rows if r["node"] not in children]
     if len(roots) != 1:
@@ -368,61 +359,61 @@ def _root(rows: Sequence) -> int:
     return roots[0]
 
 
-def _nested_case(by_node: dict, node: int) -> Column:
+def _nested_case(by_node: dict, node: int, x: Column) -> Column:
     r = by_node[node]
-    if r["feature"] is None:
+    if r["left"] is None:
         return F.lit(float(r["p1"]))
-    goes_left = F.col(f"`{r['feature']}`") <= F.lit(float(r["threshold"]))
-    return F.when(goes_left, _nested_case(by_node, r["left"])).otherwise(_nested_case(by_node, r["right"]))
+    here = x[r["column"]]
+    goes_left = here <= F.lit(float(r["threshold"])) if r["value"] is None else here != F.lit(float(r["value"]))
+    return F.when(goes_left, _nested_case(by_node, r["left"], x)).otherwise(_nested_case(by_node, r["right"], x))
 
 
-def _walk(by_node: dict, start: int) -> Column:
+def _walk(by_node: dict, start: int, x: Column) -> Column:
     """Arrow-batched walk down a large tree: one array lookup per level for a whole batch."""
-    used = sorted({r["feature"] for r in by_node.values() if r["feature"] is not None})
     place = {node: i for i, node in enumerate(by_node)}
-    column = {f: i for i, f in enumerate(used)}
     values = list(by_node.values())
-    inner = np.array([r["feature"] is not None for r in values])
-    feature = np.array([column.get(r["feature"], 0) for r in values])
-    threshold = np.array([r["threshold"] if r["feature"] is not None else np.inf for r in values], float)
-    left, right = (np.array([place[r[side] if r["feature"] is not None else r["node"]] for r in values]) for side in ("left", "right"))
+    inner = np.array([r["left"] is not None for r in values])
+    column = np.array([r["column"] if r["left"] is not None else 0 for r in values])
+    threshold = np.array([r["threshold"] if r["left"] is not None else np.inf for r in values], float)
+    chosen = np.array([np.nan if r["value"] is None else r["value"] for r in values], float)
+    left, right = (np.array([place[r["node"] if r[side] is None else r[side]] for r in values]) for side in ("left", "right"))
     p1 = np.array([r["p1"] for r in values], float)
     root = place[start]
 
     @F.pandas_udf("double")
-    def walk(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+    def walk(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=float)
+        x = np.stack(rows.to_numpy())
         at = np.full(len(x), root)
         active = np.flatnonzero(inner[at])
         while active.size:
             here = at[active]
-            goes_left = x[active, feature[here]] <= threshold[here]
+            mine = x[active, column[here]]
+            goes_left = np.where(np.isnan(chosen[here]), mine <= threshold[here], mine != chosen[here])
             at[active] = np.where(goes_left, left[here], right[here])
             active = active[inner[at[active]]]
         return pd.Series(p1[at])
 
-    return walk(*[F.col(f"`{f}`") for f in used])
+    return walk(x)
 
 
 def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataFrame:
     """``keep`` columns and ``p``: rows and nodes meet level by level, rows that reach a leaf leave.
 
-    No node reaches the driver or all tasks.  Features are the columns of ``df``; a level is written, so
-    its plan does not grow with the depth.
+    No node reaches the driver or all tasks.  A level is written, so its plan does not grow with the depth.
     """
     spark = df.sparkSession
     nodes, paths = materialize(nodes, "tree-table"), []
-    used = [r["feature"] for r in nodes.select("feature").where("feature IS NOT NULL").distinct().collect()]  # columns of df, at most
-    start = nodes.where("depth = 0").select(F.col("node").alias("_at"))
-    kept = F.struct(*keep).alias("_keep")
-    state = df.select(kept, F.array(*[F.col(f"`{f}`").cast("double") for f in used]).cast("array<double>").alias("_x")).join(F.broadcast(start), how="cross")
-    place = F.array_position(F.array(*[F.lit(f) for f in used]).cast("array<string>"), F.col("feature")).cast("int").alias("_place")
+    start = nodes.where("depth = 0").select(F.col("node").alias("_at"))  # one row
+    state = df.select(F.struct(*keep).alias("_keep"), F.col("x").alias("_x")).join(F.broadcast(start), how="cross")
     folder, depth = scratch_path(spark, "tree-scores"), 0
     while True:
-        level = nodes.where(F.col("depth") == depth).select(F.col("node").alias("_at"), place, "threshold", "p1", "left", "right")
+        level = nodes.where(F.col("depth") == depth).select(F.col("node").alias("_at"), "column", "value", "threshold", "p1", "left", "right")
         met = state.join(level, "_at")
         met.where("left IS NULL").select("_keep", F.col("p1").alias("p")).write.parquet(os.path.join(folder, f"level={depth}"))
-        goes_left = F.try_element_at("_x", F.col("_place")) <= F.col("threshold")
+        here = F.try_element_at("_x", F.col("column") + 1)
+        goes_left = F.when(F.col("value").isNull(), here <= F.col("threshold")).otherwise(here != F.col("value"))
         state, path = written(met.where("left IS NOT NULL").select("_keep", "_x", F.when(goes_left, F.col("left")).otherwise(F.col("right")).alias("_at")), "tree-walk")
         discard(spark, *paths)
         paths, depth = [path], depth + 1
@@ -430,20 +421,36 @@ def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataF
             return spark.read.parquet(folder).select("_keep.*", "p")
 
 
-def score(
-    df: DataFrame, nodes: DataFrame | Sequence, keep: Sequence[str] | None = None, case_nodes: int = CASE_NODES, walk_nodes: int = WALK_NODES,
+def score_arrays(
+    df: DataFrame, nodes: DataFrame, keep: Sequence[str], case_nodes: int = CASE_NODES, walk_nodes: int = WALK_NODES,
 ) -> DataFrame:
-    """Adds ``p`` and ``prediction`` (1 when p > 0.5, so a tie is class 0).
+    """``keep`` columns, ``p`` and ``prediction`` of rows with ``x``.
 
-    Up to ``walk_nodes`` nodes are sent to the tasks; a larger tree is scored by joins, with equal results.
+    ``nodes``: a node table with ``column``, and ``value`` where the test is for a category.  Up to ``walk_nodes``
+    nodes are sent to the tasks; a larger tree is scored by joins, with equal results.
     """
-    names = df.columns if keep is None else keep
-    columns = [F.col(f"`{k}`") for k in names]
-    rows = nodes
-    if isinstance(nodes, DataFrame):
-        rows = nodes.select("node", "feature", "threshold", "p1", "left", "right").limit(walk_nodes + 1).collect()
-    if isinstance(nodes, DataFrame) and len(rows) > walk_nodes:
+    columns = [F.col(f"`{k}`") for k in keep]
+    nodes = nodes.select("node", "depth", F.col("column").cast("int").alias("column"), "value", "threshold", "p1", "left", "right")
+    rows = [r.asDict() for r in nodes.limit(walk_nodes + 1).collect()]
+    if len(rows) > walk_nodes:
         out = _by_levels(df, nodes, columns)
     else:
-        out = df.select(*columns, leaf_probability(rows, case_nodes).alias("p"))
+        out = df.select(*columns, leaf_probability(rows, F.col("x"), case_nodes).alias("p"))
     return out.withColumn("prediction", F.when(F.col("p") > 0.5, 1).otherwise(0))
+
+
+def leaf_probability(rows: Sequence[dict], x: Column, case_nodes: int = CASE_NODES) -> Column:
+    """Probability of a row under a collected tree, as a column over the array of its values."""
+    by_node = {r["node"]: r for r in rows}
+    return (_nested_case if len(rows) <= case_nodes else _walk)(by_node, _root(rows), x)
+
+
+def score(df: DataFrame, nodes: DataFrame, keep: Sequence[str] | None = None, **limits) -> DataFrame:
+    """Adds ``p`` and ``prediction`` (1 when p > 0.5, so a tie is class 0) to a table with one column per feature."""
+    # Columns of ``df``, at most.
+    used = sorted(r["feature"] for r in nodes.where("feature IS NOT NULL").select("feature").distinct().collect())
+    place = F.array_position(F.array(*[F.lit(f) for f in used]).cast("array<string>"), F.col("feature")) - 1
+    placed = nodes.withColumns({"column": F.when(F.col("feature").isNotNull(), place), "value": F.lit(None).cast("double")})
+    names = list(df.columns if keep is None else keep)
+    values = value_array([F.col(f"`{f}`") for f in used], [])
+    return score_arrays(df.select(*[F.col(f"`{k}`") for k in names], values), placed, names, **limits)

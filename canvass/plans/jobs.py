@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from canvass.operators.encoding import EncoderModel, fit_encoder, load_encoder
 from canvass.operators.evaluation import curve_rows, metrics_bundle
-from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search
+from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search_arrays
 from canvass.operators.projection import labelled
 from canvass.operators.splitting import stratified_split
-from canvass.operators.tree import TreeSetting, grow_trees, load_tree, node_table, save_tree, score
+from canvass.operators.tree import WIDE_CELL, TreeSetting, grow_arrays, load_tree, node_table, save_tree, score_arrays
 from canvass.operators.validation import accepted, check, probability_valid, quarantined
 from canvass.session import materialize
 from canvass.sources.history import append_history, append_metrics, metrics_records, prediction_records
@@ -33,7 +33,7 @@ class Model:
         save_tree(self.nodes, os.path.join(path, "tree"), mode)
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        return score(self.encoder.transform(df, keep=keep), self.nodes, keep=keep)
+        return score_arrays(self.encoder.coded(df, keep=keep), self.encoder.placed(self.nodes), keep)
 
 
 def load_model(spark: SparkSession, path: str, spec: FeatureSpec = CAMPAIGN) -> Model:
@@ -50,6 +50,11 @@ class Training:
     holdout: DataFrame  # one metrics document, from the test part
 
 
+def few_leaves(nodes: DataFrame) -> bool:
+    """The scores of the tree fit into one window group."""
+    return nodes.where("feature IS NULL").count() < WIDE_CELL
+
+
 def split_kinds(encoder: EncoderModel) -> tuple[list[str], list[str]]:
     """Names of the numeric and of the indicator features."""
     names = encoder.feature_names
@@ -80,21 +85,17 @@ def train_and_select(
     parts = stratified_split(usable, spec.key, share=test_share, seed=seed)
     encoder = fit_encoder(usable if fit_on == "all" else parts.where(F.col("part") == "train"), spec)
     # Written once: the search, the refit and the test read it again and again.
-    encoded = materialize(encoder.transform(parts, keep=[spec.key, "label", "part"]), "encoded")
+    encoded = materialize(encoder.coded(parts, keep=[spec.key, "label", "part"]), "encoded")
     train = encoded.where(F.col("part") == "train")
-    numeric, indicators = split_kinds(encoder)
-    scores, forest = search(train, spec.key, numeric, indicators, grid, folds=folds, seed=seed)
+    scores, forest = search_arrays(train, spec.key, encoder.layout(train), grid, folds=folds, seed=seed)
     ranked = materialize(rank_candidates(scores), "candidates")
     winner = best_candidate(ranked).first()["candidate"]
     best = next(c for c in grid.candidates() if c["candidate"] == winner)
     setting = TreeSetting(best["criterion"], best["balanced"], best["min_leaf"])
-    refit = grow_trees(
-        train, numeric, indicators, [setting], max_depth=best["max_depth"],
-        min_split=best["min_split"], layout=forest.layout,
-    )
+    refit = grow_arrays(train, forest.layout, [setting], max_depth=best["max_depth"], min_split=best["min_split"])
     nodes = node_table(refit)
-    test = score(encoded.where(F.col("part") == "test"), nodes, keep=["label"])
-    holdout = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=True)
+    test = score_arrays(encoded.where(F.col("part") == "test"), encoder.placed(nodes), keep=["label"])
+    holdout = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=few_leaves(nodes))
     candidates = candidate_table(df.sparkSession, grid).join(ranked, "candidate")
     return Training(Model(encoder, nodes), best, candidates, holdout)
 
@@ -116,11 +117,12 @@ def evaluate_holdout(
     """
     parts = stratified_split(labelled(df, spec), spec.key, share=test_share, seed=seed)
     test = model.score(parts.where(F.col("part") == "test"), keep=["label"])
-    bundle = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=True)
+    few = few_leaves(model.nodes)
+    bundle = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=few)
     if history_path:
         records = materialize(metrics_records(bundle), "metrics")
         if curves_path:
-            append_metrics(curve_rows(test, few_scores=True).join(F.broadcast(records.select("id")), how="cross"), curves_path)
+            append_metrics(curve_rows(test, few_scores=few).join(F.broadcast(records.select("id")), how="cross"), curves_path)
         append_metrics(records, history_path)
     return bundle
 
