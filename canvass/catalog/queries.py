@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.functions import text
+from canvass.functions import summary, text
+from canvass.functions.ordered import long_values
 from canvass.operators import (
     encoding, evaluation, grid, history, profiling, projection, reports, significance, splitting, tree, validation,
 )
@@ -305,7 +306,32 @@ def robust_fit(spark, sf_dir):
 
 @query
 def robust_fit_approximate(spark, sf_dir):
-    return encoding.robust_parameters(tables.contacts(spark, sf_dir), CAMPAIGN.numeric, exact=False)
+    """Quartiles from a summary, of the whole table and merged from three parts: true ranks are as near as the summary says."""
+    rows, shares, error = tables.contacts(spark, sf_dir), [0.25, 0.5, 0.75], 0.002
+    parts = [summary.quantile_summary(rows.where(F.col(KEY) % 3 == i), CAMPAIGN.numeric, error) for i in range(3)]
+    found = summary.summary_quantiles(summary.quantile_summary(rows, CAMPAIGN.numeric, error), shares).withColumn("source", F.lit("whole")).unionByName(
+        summary.summary_quantiles(summary.merged(parts), shares).withColumn("source", F.lit("merged")))
+    found = materialize(found, "quartiles")
+    counts = long_values(rows, CAMPAIGN.numeric).groupBy("feature", "value").agg(F.count("*").alias("same"))
+    # Columns x shares rows, twice.
+    ranks = counts.join(F.broadcast(found), "feature").groupBy("source", "feature", "share", "n", "rank_error").agg(
+        F.sum(F.when(F.col("value") < F.col("quantile"), F.col("same")).otherwise(0)).alias("less"),
+        F.sum(F.when(F.col("value") <= F.col("quantile"), F.col("same")).otherwise(0)).alias("upto"))
+    rank = (F.col("n") - 1) * F.col("share")
+    off = F.greatest(F.col("less") - rank, rank - (F.col("upto") - 1), F.lit(0.0))
+    return ranks.select("source", "feature", "share", "n", (off <= F.col("rank_error")).alias("rank_within_bound"), (F.col("rank_error") <= error * F.col("n") + 1).alias("bound_kept"))
+
+
+@query
+def describe_infinite(spark, sf_dir):
+    """Statistics of columns with endless values."""
+    endless = float("inf")
+    rows = tables.contacts(spark, sf_dir).select(
+        F.when(F.col("duration") > 1000, endless).otherwise(F.col("duration").cast("double")).alias("long"),
+        F.when(F.col("day") < 10, -endless).when(F.col("day") > 20, endless).otherwise(F.col("day").cast("double")).alias("both"))
+    shown = ["min", "p25", "p50", "p75", "max"]
+    finite = [F.when(F.col(c) == endless, 1e300).when(F.col(c) == -endless, -1e300).otherwise(F.round(c, 6)).alias(c) for c in shown]
+    return profiling.describe(rows, ["long", "both"]).select("feature", "count", *finite)
 
 
 @query

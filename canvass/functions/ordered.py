@@ -164,5 +164,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     position = (F.col("n") - 1) * F.col("share")
     return wanted.select(
         "feature", "n", "share",
-        (F.col("lower") + (F.col("upper") - F.col("lower")) * (position - F.floor(position))).alias("quantile"),
+        # Between equal values, endless ones too, there is nothing to interpolate.
+        F.when(F.col("lower") == F.col("upper"), F.col("lower"))
+        .otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * (position - F.floor(position))).alias("quantile"),
     )

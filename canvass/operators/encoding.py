@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.ordered import exact_quantiles
+from canvass.functions.summary import quantile_summary, summary_quantiles
 from canvass.operators.binning import Layout, array_layout, value_array
 from canvass.operators.projection import mark_unknown
 from canvass.session import materialize, small_table
@@ -29,25 +30,17 @@ SCALER_SCHEMA = "position int, feature string, center double, scale double"
 VOCABULARY_SCHEMA = "feature string, category string, position int, is_baseline boolean"
 
 
-def robust_parameters(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+def robust_parameters(df: DataFrame, columns: Sequence[str], exact: bool = True, error: float = 0.001) -> DataFrame:
     """(position, feature, center, scale): median and interquartile range.
 
-    ``exact=False`` takes approximate quantiles from one pass without a shuffle of values.
+    ``exact=False`` takes quantiles from a summary of fixed size, whose ranks are at most ``error`` of the rows off.
     """
     shares = ((0.25, "q1"), (0.5, "center"), (0.75, "q3"))
     if exact:
-        found = exact_quantiles(df, columns, [s for s, _ in shares]).groupBy("feature").agg(
-            *[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in shares]
-        )
+        found = exact_quantiles(df, columns, [s for s, _ in shares])
     else:
-        sketches = df.agg(*[
-            F.percentile_approx(F.col(f"`{c}`").cast("double"), [s for s, _ in shares], 10_000).alias(c)
-            for c in columns
-        ])
-        found = sketches.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}`")[i].alias(n) for i, (_, n) in enumerate(shares)])
-            for c in columns
-        ])))
+        found = summary_quantiles(quantile_summary(df, columns, error), [s for s, _ in shares])
+    found = found.groupBy("feature").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in shares])
     order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature"))
     return found.select(
         (order - 1).cast("int").alias("position"), "feature", "center",
