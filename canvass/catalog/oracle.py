@@ -379,6 +379,10 @@ SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS position, feature F
     s["prediction_documents"] = f"{with_predictions} SELECT contact_id, job, balance, CAST(0.0 AS DOUBLE) AS missing FROM predictions"
     s["latest_predictions"] = f"{with_predictions} SELECT {PREDICTION_COLUMNS} FROM predictions ORDER BY contact_ts DESC, contact_id DESC LIMIT 100"
     s["last10_predictions"] = f"{with_predictions} SELECT contact_id, prediction, probability_text, class_name, created FROM predictions ORDER BY contact_ts DESC, contact_id DESC LIMIT 10"
+    for name in ("latest_predictions", "last10_predictions"):
+        s[f"{name}_stored"] = s[name]
+    s["high_probability_stored"] = f"{with_predictions} SELECT {PREDICTION_COLUMNS} FROM predictions WHERE CAST(probability_text AS DOUBLE) > 0.8"
+    s["quarantine_history"] = s["validate_quarantine"]
     s["predictions_by_class"] = f"{with_predictions} SELECT class_name, count(*) AS n FROM predictions GROUP BY class_name"
     s["high_probability"] = f"{with_predictions} SELECT {PREDICTION_COLUMNS} FROM predictions WHERE CAST(probability_text AS DOUBLE) > 0.8"
 

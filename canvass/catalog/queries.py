@@ -512,6 +512,41 @@ def last10_predictions(spark, sf_dir):
                        text.timestamp_text(F.col("created_at")).alias("created"))
 
 
+def _stored_predictions(spark, sf_dir) -> str:
+    """A history of three batches, written by day and by month."""
+    path, rows = scratch_path(spark, "stored"), predictions(spark, sf_dir)
+    for i, grain in enumerate(("day", "month", "day")):
+        store.write_history_batch(rows.where(F.col(KEY) % 3 == i), path, "r", i, grain, rebalance=True)
+    return path
+
+
+@query
+def latest_predictions_stored(spark, sf_dir):
+    """From a stored history, of which only the newest dates are read."""
+    return _prediction_view(store.read_newest(spark, _stored_predictions(spark, sf_dir), tie=KEY))
+
+
+@query
+def last10_predictions_stored(spark, sf_dir):
+    last = store.read_newest(spark, _stored_predictions(spark, sf_dir), 10, KEY)
+    return last.select(KEY, "prediction", "probability_text", "class_name", text.timestamp_text(F.col("created_at")).alias("created"))
+
+
+@query
+def high_probability_stored(spark, sf_dir):
+    return _prediction_view(history.high_probability(store.read_history(spark, _stored_predictions(spark, sf_dir)), tie=KEY))
+
+
+@query
+def quarantine_history(spark, sf_dir):
+    """What a scoring batch rejects, read back from its own table."""
+    path = scratch_path(spark, "both")
+    jobs.scoring_job(requests(spark, sf_dir), fixed_model(spark, sf_dir), path, path + "-quarantine")
+    kept = store.read_history(spark, path + "-quarantine")
+    names = F.transform("violations", lambda v: F.concat(v["rule"], F.lit(":"), v["kind"]))
+    return kept.select(KEY, "age", "job", F.array_join(names, ",").alias("violations"))
+
+
 @query
 def predictions_by_class(spark, sf_dir):
     return history.predictions_by_class(predictions(spark, sf_dir))

@@ -16,8 +16,8 @@ from canvass.operators.projection import labelled
 from canvass.operators.splitting import stratified_split
 from canvass.operators.tree import WIDE_CELL, TreeSetting, grow_arrays, load_tree, node_table, save_tree, score_arrays
 from canvass.operators.validation import accepted, check, probability_valid, quarantined
-from canvass.session import materialize
-from canvass.sources.history import append_history, append_metrics, metrics_records, prediction_records
+from canvass.session import discard, materialize, written
+from canvass.sources.history import append_metrics, metrics_records, new_run, prediction_records, write_together
 from canvass.spec import CAMPAIGN, CV_FOLDS, DEFAULT_MODEL_NAME, SPLIT_SEED, TEST_SHARE, FeatureSpec
 
 
@@ -138,7 +138,13 @@ def score_requests(
 
     A failing history write fails the job; it is not swallowed.
     """
-    checked = check(requests, spec, strict_domains)
+    return score_checked(check(requests, spec, strict_domains), model, spec, created_at)
+
+
+def score_checked(
+    checked: DataFrame, model: Model, spec: FeatureSpec = CAMPAIGN, created_at: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`score_requests` for requests that have been checked."""
     keep = [spec.key, *spec.inputs, *([created_at] if created_at else [])]
     scored = model.score(accepted(checked, spec), keep=keep)
     # No record leaves with a probability out of range: the job fails instead.
@@ -152,7 +158,16 @@ def scoring_job(
     spec: FeatureSpec = CAMPAIGN, created_at: str | None = None, grain: str = "day",
 ) -> None:
     """Validate, score and append a batch of requests."""
-    records, rejected = score_requests(requests, model, spec, created_at=created_at)
-    append_history(records, history_path, grain)
-    if quarantine_path:
-        rejected.write.mode("append").parquet(quarantine_path)
+    score_batch(requests, model, history_path, quarantine_path, new_run(), 0, spec, created_at, grain)
+
+
+def score_batch(
+    requests: DataFrame, model: Model, history_path: str, quarantine_path: str | None, run: str, batch_id: int,
+    spec: FeatureSpec = CAMPAIGN, created_at: str | None = None, grain: str = "day",
+) -> None:
+    """One batch: the source is read and checked once, what is scored and what is rejected commit together."""
+    checked, path = written(check(requests, spec), "checked")
+    records, rejected = score_checked(checked, model, spec, created_at)
+    outputs = [(records, history_path)] + ([(rejected, quarantine_path)] if quarantine_path else [])
+    write_together(outputs, run, batch_id, grain)
+    discard(requests.sparkSession, path)

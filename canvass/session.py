@@ -77,6 +77,34 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all; replaces an older one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(place):
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+        overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        context.rename(draft, place, options)
+    else:
+        files.rename(draft, place)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def small_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """Fitted parameters as a DataFrame.
 

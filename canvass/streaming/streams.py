@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators import reports
-from canvass.plans.jobs import Model, score_requests
-from canvass.sources.history import read_history, run_of, write_history_batch
+from canvass.plans.jobs import Model, score_batch
+from canvass.sources.history import read_history, run_of
 from canvass.sources.tables import read_requests
 from canvass.spec import CAMPAIGN, METRICS_HISTORY, FeatureSpec
 
@@ -47,14 +47,7 @@ def stream_scoring(
     run = run_of(spark, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Read the batch once for both outputs.
-        batch.persist()
-        try:
-            records, rejected = score_requests(batch, model, spec)
-            write_history_batch(records, history_path, run, batch_id)
-            write_history_batch(rejected, quarantine_path, run, batch_id)
-        finally:
-            batch.unpersist()
+        score_batch(batch, model, history_path, quarantine_path, run, batch_id, spec)
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _start(writer, once, seconds)
