@@ -371,7 +371,8 @@ SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS position, feature F
     s["row_weights"] = f"{with_parts} SELECT contact_id, CAST(y AS INT) AS label, round((SELECT count(*) FROM contacts) / (2.0 * cn), 9) AS weight FROM ranked"
 
     everything = f"{with_contacts} SELECT contact_id, {columns(INPUTS)}, deposit FROM contacts"
-    s["csv_scan"] = s["parquet_scan"] = everything
+    s["csv_scan"] = s["parquet_scan"] = s["json_scan"] = everything
+    s["csv_scan_mixed_headers"] = everything.replace('"poutcome"', '''CASE WHEN contact_id % 3 <> 2 THEN poutcome END AS poutcome''')
     s["json_requests"] = f"{with_contacts} SELECT contact_id, {raw_columns()} FROM contacts"
     s["source_contract"] = f"{with_contacts} SELECT count(*) AS n, 'refused' AS missing_target, 'refused' AS missing_path FROM contacts"
     with_predictions = f"WITH {PREDICTIONS}"
@@ -412,6 +413,13 @@ UNION ALL SELECT 'Random', CAST(point_no AS INT), CAST(v AS DOUBLE), CAST(v AS D
 SELECT 'PR Curve' AS series, CAST(row_number() OVER (ORDER BY k DESC) - 1 AS INT) AS point_no, round(recall, 9) AS x, round("precision", 9) AS y FROM pts"""
     s["metrics_table"] = f"{with_runs} SELECT created, " + ", ".join(f"printf('%.4f', {q(m)}) AS {q(m)}" for m in METRICS) + " FROM runs ORDER BY created_at DESC LIMIT 100"
     s["stream_refresh"] = s["metrics_table"]
+    four = ["printf('%.4f', {})".format(q(m)) for m in METRICS]
+    lines = {
+        "metric_cards": ["created", *four], "metric_series": ["created", "metric", "printf('%.4f', value)"], "confusion_cells": ["actual", "predicted", "CAST(n AS VARCHAR)"],
+        "roc_long": ["series", "CAST(point_no AS VARCHAR)", "printf('%.4f', x)", "printf('%.4f', y)"],
+        "pr_long": ["series", "CAST(point_no AS VARCHAR)", "printf('%.4f', x)", "printf('%.4f', y)"], "metrics_table": ["created", *map(q, METRICS)],
+    }
+    s["stream_refresh_all"] = " UNION ALL ".join(f"SELECT '{n}' AS name, concat_ws('|', {', '.join(e)}) AS line FROM ({s[n]})" for n, e in lines.items())
     s["roc_long_continuous"] = f"""WITH pts AS ({s['roc_points_continuous']}) SELECT 'ROC Curve' AS series, threshold, fpr AS x, tpr AS y FROM pts
  UNION ALL SELECT 'Random', NULL, v, v FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(v)"""
     s["pr_long_continuous"] = f"WITH pts AS ({s['pr_points_continuous']}) SELECT 'PR Curve' AS series, threshold, recall AS x, precision AS y FROM pts"
@@ -437,6 +445,10 @@ FROM contacts, params"""
     s["evaluation_job"] = f"""{with_parts}, {SCALER}, {PARAMS}, held AS (SELECT y AS label, p, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM (SELECT y, {FIXED_P} AS p FROM parts, params WHERE part = 'test')),
 {curve('held')}, m AS ({matrix('held')}), a AS (SELECT {AREA} AS auc FROM cum)
 SELECT tn + fp + fn + tp AS n, {SCALARS}, round(auc, 9) AS auc_roc, '2024-01-01 00:00:00' AS timestamp FROM m, a"""
+    held = f"{with_parts}, {SCALER}, {PARAMS}, held AS (SELECT y AS label, p, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM (SELECT y, {FIXED_P} AS p FROM parts, params WHERE part = 'test')), {curve('held')}"
+    s["roc_long_stored"] = f"""{held}, pts AS ({ROC}) SELECT 'ROC Curve' AS series, round(threshold, 9) AS threshold, round(fpr, 9) AS x, round(tpr, 9) AS y FROM pts
+ UNION ALL SELECT 'Random', NULL, v, v FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(v)"""
+    s["pr_long_stored"] = f"""{held}, pts AS ({PR}) SELECT 'PR Curve' AS series, round(threshold, 9) AS threshold, round(recall, 9) AS x, round("precision", 9) AS y FROM pts"""
     s["tree_first_splits"] = TREE
     s["tree_with_missing"] = _tree_with_missing()
     flags = {f"cat__{c}_{v}": f"{marked(c)} = '{v}'" for c, v in INDICATORS}

@@ -441,6 +441,22 @@ def csv_scan(spark, sf_dir):
     return tables.read_campaign(spark, path)
 
 
+@query
+def csv_scan_mixed_headers(spark, sf_dir):
+    """Files of three headers: the declared order, another order, and without one column."""
+    path, rows = scratch_path(spark, "mixed-csv"), tables.contacts(spark, sf_dir).drop("contact_ts")
+    for i, columns in enumerate((rows.columns, rows.columns[::-1], [c for c in rows.columns if c != "poutcome"])):
+        rows.where(F.col(KEY) % 3 == i).select(columns).write.mode("append").option("header", True).csv(path)
+    return tables.read_campaign(spark, path).select(*rows.columns)
+
+
+@query
+def json_scan(spark, sf_dir):
+    path = scratch_path(spark, "campaign-json")
+    tables.contacts(spark, sf_dir).drop("contact_ts").write.json(path)
+    return tables.read_campaign(spark, path, "json")
+
+
 @query
 def parquet_scan(spark, sf_dir):
     path = scratch_path(spark, "campaign-parquet")
@@ -744,10 +760,11 @@ def scoring_job(spark, sf_dir):
 
 @query
 def evaluation_job(spark, sf_dir):
-    """Score and evaluate the same hold-out again with a stored model."""
-    bundle = jobs.evaluate_holdout(
-        tables.contacts(spark, sf_dir), fixed_model(spark, sf_dir), timestamp="2024-01-01 00:00:00"
-    )
+    """Score and evaluate the same hold-out again with a stored model, which knows where the split was."""
+    model, path = fixed_model(spark, sf_dir), scratch_path(spark, "evaluated")
+    split = splitting.split_thresholds(labelled(spark, sf_dir), KEY)
+    jobs.Model(model.encoder, model.nodes, split).save(path)
+    bundle = jobs.evaluate_holdout(tables.contacts(spark, sf_dir), jobs.load_model(spark, path), timestamp="2024-01-01 00:00:00")
     m = F.col("metrics")
     return bundle.select("n", *[r9(m[f]).alias(f) for f in METRIC_FIELDS], m["timestamp"].alias("timestamp"))
 
@@ -986,4 +1003,49 @@ def stream_refresh(spark, sf_dir):
     source, target = os.path.join(base, "metrics"), os.path.join(base, "tables")
     store.append_metrics(weekly(spark, sf_dir), source)
     streams.stream_refresh(spark, source, target, os.path.join(base, "checkpoint"), once=True).awaitTermination()
-    return spark.read.parquet(os.path.join(target, "metrics_table"))
+    return streams.read_dashboard(spark, target)["metrics_table"]
+
+
+@query
+def stream_refresh_all(spark, sf_dir):
+    """Documents arrive in three batches; all six tables of the last version, a line of text per row."""
+    base = scratch_path(spark, "refresh-all")
+    source, target = os.path.join(base, "metrics"), os.path.join(base, "tables")
+    documents = materialize(weekly(spark, sf_dir), "weekly")
+    for i in range(3):
+        store.append_metrics(documents.where(F.pmod("id", F.lit(3)) == i), source)
+        streams.stream_refresh(spark, source, target, os.path.join(base, "checkpoint"), once=True).awaitTermination()
+    created = text.timestamp_text(F.col("created_at"))
+    shown = {
+        "metric_cards": [created, *[text.fixed4(F.col(m)) for m in METRIC_FIELDS]],
+        "metric_series": [created, "metric", text.fixed4(F.col("value"))],
+        "confusion_cells": ["actual", "predicted", F.col("n").cast("string")],
+        "roc_long": ["series", F.col("point_no").cast("string"), text.fixed4(F.col("x")), text.fixed4(F.col("y"))],
+        "pr_long": ["series", F.col("point_no").cast("string"), text.fixed4(F.col("x")), text.fixed4(F.col("y"))],
+        "metrics_table": ["created", *METRIC_FIELDS],
+    }
+    out = None
+    for name, df in streams.read_dashboard(spark, target).items():
+        lines = df.select(F.lit(name).alias("name"), F.concat_ws("|", *shown[name]).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def _job_curves(spark, sf_dir, curve: str) -> DataFrame:
+    """Curve of the newest document of a history that an evaluation job wrote."""
+    base = scratch_path(spark, "job-curves")
+    history_path, curves_path = os.path.join(base, "metrics"), os.path.join(base, "curves")
+    jobs.evaluate_holdout(
+        tables.contacts(spark, sf_dir), fixed_model(spark, sf_dir), timestamp="2024-01-01 00:00:00", history_path=history_path, curves_path=curves_path)
+    points = reports.curves_long(store.read_history(spark, history_path), spark.read.parquet(curves_path), curve)
+    return rounded(points, "threshold", "x", "y")
+
+
+@query
+def roc_long_stored(spark, sf_dir):
+    return _job_curves(spark, sf_dir, "roc")
+
+
+@query
+def pr_long_stored(spark, sf_dir):
+    return _job_curves(spark, sf_dir, "pr")

@@ -13,32 +13,41 @@ from canvass.operators.encoding import EncoderModel, fit_encoder, load_encoder
 from canvass.operators.evaluation import curve_rows, metrics_bundle
 from canvass.operators.grid import Grid, best_candidate, candidate_table, rank_candidates, search_arrays
 from canvass.operators.projection import labelled
-from canvass.operators.splitting import stratified_split
+from canvass.operators.splitting import split_thresholds, stratified_split
 from canvass.operators.tree import WIDE_CELL, TreeSetting, grow_arrays, load_tree, node_table, save_tree, score_arrays
 from canvass.operators.validation import accepted, check, probability_valid, quarantined
-from canvass.session import discard, materialize, written
+from canvass.session import discard, exists, materialize, written
 from canvass.sources.history import append_metrics, metrics_records, new_run, prediction_records, write_together
 from canvass.spec import CAMPAIGN, CV_FOLDS, DEFAULT_MODEL_NAME, SPLIT_SEED, TEST_SHARE, FeatureSpec
 
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted encoder and the node table of the selected tree."""
+    """A fitted encoder and the node table of the selected tree; and ``split``, where its training part ended.
+
+    ``split`` has one row per class, as of ``split_thresholds``: with it an evaluation finds the held-out rows by comparing
+    hashes, without counting the table again.
+    """
 
     encoder: EncoderModel
     nodes: DataFrame
+    split: DataFrame | None = None
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         self.encoder.save(self.nodes.sparkSession, os.path.join(path, "encoder"), mode)
         save_tree(self.nodes, os.path.join(path, "tree"), mode)
+        if self.split is not None:
+            self.split.coalesce(1).write.mode(mode).parquet(os.path.join(path, "split"))
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return score_arrays(self.encoder.coded(df, keep=keep), self.encoder.placed(self.nodes), keep)
 
 
 def load_model(spark: SparkSession, path: str, spec: FeatureSpec = CAMPAIGN) -> Model:
+    split = os.path.join(path, "split")
     return Model(
-        load_encoder(spark, os.path.join(path, "encoder"), spec), load_tree(spark, os.path.join(path, "tree"))
+        load_encoder(spark, os.path.join(path, "encoder"), spec), load_tree(spark, os.path.join(path, "tree")),
+        spark.read.parquet(split) if exists(spark, split) else None,
     )
 
 
@@ -82,7 +91,9 @@ def train_and_select(
         raise ValueError("fit_on is 'all' or 'train'")
     grid = grid or Grid()
     usable = labelled(df, spec)
-    parts = stratified_split(usable, spec.key, share=test_share, seed=seed)
+    # Two rows.
+    split = materialize(split_thresholds(usable, spec.key, share=test_share, seed=seed), "split")
+    parts = stratified_split(usable, spec.key, seed=seed, edges=split)
     encoder = fit_encoder(usable if fit_on == "all" else parts.where(F.col("part") == "train"), spec)
     # Written once: the search, the refit and the test read it again and again.
     encoded = materialize(encoder.coded(parts, keep=[spec.key, "label", "part"]), "encoded")
@@ -97,7 +108,7 @@ def train_and_select(
     test = score_arrays(encoded.where(F.col("part") == "test"), encoder.placed(nodes), keep=["label"])
     holdout = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=few_leaves(nodes))
     candidates = candidate_table(df.sparkSession, grid).join(ranked, "candidate")
-    return Training(Model(encoder, nodes), best, candidates, holdout)
+    return Training(Model(encoder, nodes, split), best, candidates, holdout)
 
 
 def evaluate_holdout(
@@ -111,11 +122,11 @@ def evaluate_holdout(
     history_path: str | None = None,
     curves_path: str | None = None,
 ) -> DataFrame:
-    """Find the same test part again, score it, evaluate it, append to the history.
+    """Find the same test part again, by the split kept with the model if there is one, score it, evaluate it, append to the history.
 
     The points of the curves go to ``curves_path`` as rows with the id of the run.
     """
-    parts = stratified_split(labelled(df, spec), spec.key, share=test_share, seed=seed)
+    parts = stratified_split(labelled(df, spec), spec.key, share=test_share, seed=seed, edges=model.split)
     test = model.score(parts.where(F.col("part") == "test"), keep=["label"])
     few = few_leaves(model.nodes)
     bundle = metrics_bundle(test, model_name=model_name, timestamp=timestamp, few_scores=few)

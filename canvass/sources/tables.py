@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,7 @@ def read_campaign(
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
     if fmt == "csv":
-        # The header decides the column order, so read it (one line) and type by name.  Spark then
-        # compares the header of every file with it: files of another order fail, never mix up.
-        header = spark.read.option("header", True).csv(path).columns
-        require_target(header, spec)
-        declared = {f.name: f for f in spec.table_schema(key_type).fields}
-        schema = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        return _read_csv(spark, path, spec, key_type)
     if fmt == "json":
         df = spark.read.schema(spec.table_schema(key_type)).json(path)
         # A declared schema always has the column; what counts is whether any document does.
@@ -47,6 +42,33 @@ def read_campaign(
     return df
 
 
+def _read_csv(spark: SparkSession, path: str, spec: FeatureSpec, key_type: T.DataType | None) -> DataFrame:
+    """Files grouped by their header, each group read in its own order of columns and put together by name.
+
+    A column that a file lacks is null in its rows.  Headers are found in one pass over the first line of every file;
+    one row per different header reaches the driver, with the paths of its files.
+    """
+    lines = spark.read.option("wholetext", False).text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    first = lines.where("start = 0").withColumn("row", F.monotonically_increasing_id())
+    headers = first.groupBy("file").agg(F.min_by("value", "row").alias("header")).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    if not headers:
+        raise ValueError(f"column {spec.target!r} is not in the table")
+    declared = {f.name: f for f in spec.table_schema(key_type).fields}
+    groups, names = [], []
+    for r in headers:
+        files = [unquote(f) for f in r["files"]]
+        header = spark.read.option("header", True).csv(files[0]).columns
+        require_target(header, spec)
+        schema = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
+        # Spark compares the header of every file with the schema.
+        groups.append(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files))
+        names += [c for c in header if c not in names]
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g, allowMissingColumns=True)
+    return out.select(*[F.col(f"`{c}`") for c in names])
+
+
 def read_requests(
     spark: SparkSession, path: str, spec: FeatureSpec = CAMPAIGN, stream: bool = False,
     key_type: T.DataType | None = T.LongType(),
