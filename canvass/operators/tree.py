@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.ordered import running_totals
 from canvass.operators.binning import Layout, array_rows, make_layout, value_array
-from canvass.session import discard, materialize, scratch_path, small_table, written
+from canvass.session import discard, materialize, scratch_path, small_table, without_constraints, written
 from canvass.spec import NODE_TABLE
 
 NO_LIMIT = 2**31 - 1
@@ -31,7 +31,7 @@ WALK_NODES = 1_000_000  # up to here a tree is sent to the tasks; beyond, rows a
 #: Cells of more rows: running counts go digit by digit instead of through one window group.
 WIDE_CELL = 1 << 20
 #: Children of cells of more rows: the larger one is the parent less the smaller one.
-DERIVE_CELL = 1 << 15
+DERIVE_CELL = 1 << 20
 ROOT = 1
 _COUNTS = ("n0", "n1", "v0", "v1")
 _KINDS = ("h0", "h1", "g0", "g1")
@@ -156,7 +156,8 @@ def grow_arrays(
             fresh.append(path)
         counts, files = _histogram(state, layout, carried, children, size >= DERIVE_CELL)
         level = os.path.join(folder, f"level={levels}")
-        _best_splits(counts, open_nodes, layout, size >= WIDE_CELL).write.parquet(level)
+        with without_constraints(spark):  # costs are long expressions
+            _best_splits(counts, open_nodes, layout, size >= WIDE_CELL).write.parquet(level)
         discard(spark, *paths)
         paths, levels = fresh + files, levels + 1
         carried = counts if size >= DERIVE_CELL else None

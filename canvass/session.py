@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +117,18 @@ def make_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
 
 
+@contextmanager
+def without_constraints(spark: SparkSession) -> Iterator[None]:
+    """Plan what runs inside without deriving constraints: from long expressions that takes the optimizer seconds a query."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """Fitted parameters as a DataFrame.
 
