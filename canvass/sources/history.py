@@ -190,5 +190,12 @@ def first_date_of_newest(spark: SparkSession, path: str, limit: int) -> str | No
 
 
 def read_newest(spark: SparkSession, path: str, limit: int = HISTORY_LIMIT, tie: str = "id") -> DataFrame:
-    """The newest rows of a stored history; folders of dates before them are not opened."""
-    return newest(read_history(spark, path, since=first_date_of_newest(spark, path, limit)), limit, tie)
+    """The newest rows of a stored history; folders of dates before them are neither listed nor opened."""
+    since = first_date_of_newest(spark, path, limit)
+    if since is None:
+        return newest(read_history(spark, path), limit, tie)
+    # One row per batch and date from there on.
+    wanted = committed(spark, path).select("run_id", "batch_id", F.inline("dates")).where(F.concat("date", F.lit("~")) >= since).collect()
+    folders = [os.path.join(path, f"run_id={r['run_id']}", f"batch_id={r['batch_id']}", f"created_date={r['date']}") for r in wanted]
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    return newest(rows.drop("created_date", "run_id", "batch_id"), limit, tie)
