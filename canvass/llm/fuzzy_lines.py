@@ -144,16 +144,16 @@ def removed_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id
 def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents with the repeated lines cut out, and ``n_lines``, ``n_removed`` (columns of these names are replaced)."""
     store = Store(documents.sparkSession, "lines-out")
-    gone = store.put(removed_lines(documents, percent, id_col, text_col), "removed")
+    gone = store.put(removed_lines(documents, percent, id_col, text_col).withColumnRenamed("removed", "__removed"), "removed")
     bits = store.put(bitmap(gone.select("__doc")), "bits")
     rows = marked(documents.withColumn("__t", F.xxhash64(text_col)).withColumn("__d", F.col(id_col)), id_col, bits)
     hit = rows.where("__hit").join(gone, F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__text_hash")), "left")
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines(F.col(text_col)))).cast("long")
-    lost = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    lost = F.coalesce(F.size("__removed"), F.lit(0)).cast("long")
     cut = bind(lines(F.col(text_col)), lambda x: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
-    hit = hit.withColumns({"__total": total, "__lost": F.when(F.col("removed").isNull(), 0).otherwise(lost).cast("long"),
-                           "__new": F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(cut)})
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)), "\n"))
+    hit = hit.withColumns({"__total": total, "__lost": F.when(F.col("__removed").isNull(), 0).otherwise(lost).cast("long"),
+                           "__new": F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(cut)})
     missed = rows.where("NOT __hit").withColumns({"__total": total, "__lost": F.lit(0).cast("long"), "__new": F.col(text_col)})
     kept = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
     counts = [F.col("__total").alias("n_lines"), F.col("__lost").alias("n_removed")]

@@ -234,7 +234,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, id_col: str = "doc_
 def keep_one(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all columns: that of the smallest id.
 
-    Rows equal in id count as one.  Documents without words, and those with a null id, are kept.
+    Rows equal in id and text count as one; rows of one id with different texts go or stay together.  Documents without words, and those with a null id, are kept.
     """
     store = Store(documents.sparkSession, "near-out")
     found = store.put(near_duplicates(documents, percent, id_col, text_col).select("doc_id", "kept"), "found")
@@ -244,5 +244,5 @@ def keep_one(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     rows = marked(documents, id_col, bits)
     # A null id has a place in the bitmap like any other, but equals none.
     hit = rows.where("__hit").join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(documents.columns)
-    kept = hit.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    kept = hit.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
     return kept.unionByName(hit.where(F.col(id_col).isNull())).unionByName(rows.where("NOT __hit").select(documents.columns))

@@ -144,6 +144,18 @@ def test_lines(spark, texts):
     assert fuzzy_lines.dedup_lines(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_with_a_column_of_the_same_name(spark):
+    rows = spark.createDataFrame([(1, "one line of text\nanother", "x"), (2, "one line of text", "y"), (3, None, "z")], "doc_id long, text string, removed string")
+    got = sorted(map(tuple, fuzzy_lines.dedup_lines(rows).select("doc_id", "text", "removed", "n_removed").collect()))
+    assert got == [(1, "one line of text\nanother", "x", 0), (2, "", "y", 1), (3, None, "z", 0)]
+
+
+def test_keep_one_keeps_other_texts_of_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([(1, words), (1, words), (1, words + " and more of it"), (2, words)], "doc_id long, text string")
+    assert sorted(r.text for r in near_dup.keep_one(rows).collect()) == sorted([words, words + " and more of it"])
+
+
 def edited_lines(kind, number):
     """Pairs of similar lines without a word in common with other pairs."""
     draw, letters = random.Random(21), "abcdefghijklmnopqrstuvwxyz"
