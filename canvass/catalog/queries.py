@@ -529,10 +529,10 @@ def last10_predictions(spark, sf_dir):
 
 
 def _stored_predictions(spark, sf_dir) -> str:
-    """A history of three batches, written by day and by month."""
+    """A history of three batches, by month: contacts are few for their many days."""
     path, rows = scratch_path(spark, "stored"), predictions(spark, sf_dir)
-    for i, grain in enumerate(("day", "month", "day")):
-        store.write_history_batch(rows.where(F.col(KEY) % 3 == i), path, "r", i, grain, rebalance=True)
+    for i in range(3):
+        store.write_history_batch(rows.where(F.col(KEY) % 3 == i), path, "r", i, "month", rebalance=True)
     return path
 
 
