@@ -399,7 +399,7 @@ def _walk(by_node: dict, start: int, x: Column) -> Column:
     return walk(x)
 
 
-def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataFrame:
+def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column], x: str) -> DataFrame:
     """``keep`` columns and ``p``: rows and nodes meet level by level, rows that reach a leaf leave.
 
     No node reaches the driver or all tasks.  A level is written, so its plan does not grow with the depth.
@@ -407,7 +407,7 @@ def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataF
     spark = df.sparkSession
     nodes, paths = materialize(nodes, "tree-table"), []
     start = nodes.where("depth = 0").select(F.col("node").alias("_at"))  # one row
-    state = df.select(F.struct(*keep).alias("_keep"), F.col("x").alias("_x")).join(F.broadcast(start), how="cross")
+    state = df.select(F.struct(*keep).alias("_keep"), F.col(x).alias("_x")).join(F.broadcast(start), how="cross")
     folder, depth = scratch_path(spark, "tree-scores"), 0
     while True:
         level = nodes.where(F.col("depth") == depth).select(F.col("node").alias("_at"), "column", "value", "threshold", "p1", "left", "right")
@@ -423,9 +423,9 @@ def _by_levels(df: DataFrame, nodes: DataFrame, keep: Sequence[Column]) -> DataF
 
 
 def score_arrays(
-    df: DataFrame, nodes: DataFrame, keep: Sequence[str], case_nodes: int = CASE_NODES, walk_nodes: int = WALK_NODES,
+    df: DataFrame, nodes: DataFrame, keep: Sequence[str], case_nodes: int = CASE_NODES, walk_nodes: int = WALK_NODES, x: str = "x",
 ) -> DataFrame:
-    """``keep`` columns, ``p`` and ``prediction`` of rows with ``x``.
+    """``keep`` columns, ``p`` and ``prediction`` of rows whose values are in the array ``x``.
 
     ``nodes``: a node table with ``column``, and ``value`` where the test is for a category.  Up to ``walk_nodes``
     nodes are sent to the tasks; a larger tree is scored by joins, with equal results.
@@ -434,9 +434,9 @@ def score_arrays(
     nodes = nodes.select("node", "depth", F.col("column").cast("int").alias("column"), "value", "threshold", "p1", "left", "right")
     rows = [r.asDict() for r in nodes.limit(walk_nodes + 1).collect()]
     if len(rows) > walk_nodes:
-        out = _by_levels(df, nodes, columns)
+        out = _by_levels(df, nodes, columns, x)
     else:
-        out = df.select(*columns, leaf_probability(rows, F.col("x"), case_nodes).alias("p"))
+        out = df.select(*columns, leaf_probability(rows, F.col(x), case_nodes).alias("p"))
     return out.withColumn("prediction", F.when(F.col("p") > 0.5, 1).otherwise(0))
 
 
@@ -453,5 +453,5 @@ def score(df: DataFrame, nodes: DataFrame, keep: Sequence[str] | None = None, **
     place = F.array_position(F.array(*[F.lit(f) for f in used]).cast("array<string>"), F.col("feature")) - 1
     placed = nodes.withColumns({"column": F.when(F.col("feature").isNotNull(), place), "value": F.lit(None).cast("double")})
     names = list(df.columns if keep is None else keep)
-    values = value_array([F.col(f"`{f}`") for f in used], [])
-    return score_arrays(df.select(*[F.col(f"`{k}`") for k in names], values), placed, names, **limits)
+    values = value_array([F.col(f"`{f}`") for f in used], []).alias("_values")
+    return score_arrays(df.select(*[F.col(f"`{k}`") for k in names], values), placed, names, x="_values", **limits)
