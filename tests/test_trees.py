@@ -207,11 +207,11 @@ def test_registered_searches_are_full(spark, monkeypatch, name):
     class Reached(Exception):
         pass
 
-    def search(rows, key, numeric, indicators, asked, folds=None, **other):
+    def search(rows, key, layout, asked, folds=None, **other):
         assert len(asked.candidates()) == 320 and asked == grid.Grid() and folds == 10
         raise Reached
 
-    monkeypatch.setattr(grid, "search", search)
-    monkeypatch.setattr(jobs, "search", search)
+    monkeypatch.setattr(grid, "search_arrays", search)
+    monkeypatch.setattr(jobs, "search_arrays", search)
     with pytest.raises(Reached):
         REGISTRY[name](spark, "/root/testdata/sf0.001")
