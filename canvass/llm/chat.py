@@ -2,7 +2,7 @@
 
 A turn's content is a list of typed parts.  A visitor flattens them in order: a text is
 escaped, any other part becomes a placeholder, and its reference, place and number of tokens
-after expansion are recorded.  Turns are written as::
+after expansion are recorded.  A part of an unknown or null kind becomes ``<other>``, one token a unit.  Turns are written as::
 
     <turn ROLE>BODY</turn>\\n
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Tokens that one unit of a part takes up: a tile of an image, a second of audio, a page of a document.
 TOKENS = {"image": 256, "audio": 25, "document": 500}
+OTHER = "other"
 PART = "struct<kind: string, text: string, ref: string, units: bigint>"
 OPEN, CLOSE = "<turn ", "</turn>\n"
 
@@ -46,14 +47,15 @@ def visit(part: Column) -> Column:
     out = F.when(part["kind"] == "text", escaped(F.coalesce(part["text"], F.lit(""))))
     for kind in TOKENS:
         out = out.when(part["kind"] == kind, F.lit(f"<{kind}>"))
-    return out.otherwise("")
+    return out.otherwise(f"<{OTHER}>")
 
 
 def expanded(part: Column) -> Column:
-    out = F.lit(0).cast("long")
+    units = F.coalesce(part["units"], F.lit(1).cast("long"))
+    out = F.when(part["kind"] == "text", F.lit(0).cast("long"))
     for kind, tokens in TOKENS.items():
-        out = F.when(part["kind"] == kind, F.coalesce(part["units"], F.lit(1)) * tokens).otherwise(out)
-    return out
+        out = out.when(part["kind"] == kind, units * tokens)
+    return out.otherwise(units)
 
 
 def format_conversations(
@@ -80,10 +82,10 @@ def format_conversations(
     zero = F.array(F.lit(0).cast("long"))
     starts = F.aggregate(sizes, zero, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     marks = F.filter(
-        F.transform(F.arrays_zip("parts", starts.alias("starts")), lambda z: F.struct(
-            z["parts"]["kind"].alias("kind"), z["parts"]["ref"].alias("ref"), expanded(z["parts"]).alias("tokens"),
+        F.transform(F.arrays_zip("parts", F.slice(starts, F.lit(1), F.size("parts")).alias("starts")), lambda z: F.struct(
+            F.coalesce(z["parts"]["kind"], F.lit(OTHER)).alias("kind"), z["parts"]["ref"].alias("ref"), expanded(z["parts"]).alias("tokens"),
             (body_at + z["starts"]).alias("start"))),
-        lambda a: a["kind"].isin(*TOKENS))
+        lambda a: a["kind"] != "text")
     turn = F.struct("at", "piece", body_at.alias("start"), F.char_length("body").cast("long").alias("length"), "role", marks.alias("marks"))
     gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     spoken = F.filter("t", lambda t: t["role"] == "assistant")

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,37 @@ def test_unwanted_elements_without_end_tags():
     assert main_text.main_text(f'<html><head><meta charset=x><title>t</title><body><p>{real}') == text
 
 
+@pytest.mark.parametrize("name", "post-comments article-comments page-footer entry-footer content-sidebar main-nav page-header story-share".split())
+def test_parts_named_after_the_article(name):
+    real = "Real text, with commas, " * 9
+    page = f'<div class="content"><p>{real}</p><div class="{name}"><p>{"Other text, with commas, " * 9}</p></div></div>'
+    assert main_text.main_text(page) == real.strip()
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "entry-header", "no-comments", "widget post-content", "postBody"])
+def test_names_of_what_holds_the_article(name):
+    real = "Real text, with commas, " * 9
+    assert main_text.main_text(f'<div class="{name}"><p>{real}</p></div>') == real.strip()
+
+
+def test_broken_and_foreign_markup():
+    real = "Real text, with commas, " * 9
+    text = real.strip()
+    assert main_text.main_text(f'<article><svg width=3 /><p>{real}<svg><path d=1/><title>T</title></svg><svg><g><p>{real}</article>') == f"{text} {text}"
+    assert main_text.main_text(f"<article><p title=it's>{real}</p><p>it's {real}</p></article>") == f"{text} it's {text}"
+    assert main_text.main_text(f'<article><p title="open>{real}</p><p>{real}</p></article>') == f"{text} {text}"
+    assert main_text.main_text(f'<article><p title="a > b">{real}<a class="share" href=x>Share</a></p></article>') == text
+    assert main_text.main_text(f"<article><p>1 < 2, {real}</p></article>") == f"1 < 2, {text}"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>a" * 80_000, "<form>" + "<b><i></u>" * 100_000, "<ul>" + "<div><li>" * 60_000, '<a x=">" ' * 120_000 + "y='",
+                                  "<!--" * 250_000, "<script>" * 120_000])
+def test_time_grows_with_the_page(page):
+    started = time.process_time()
+    main_text.main_text(page)
+    assert time.process_time() - started < 10
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a  b</p>", 1), (2, None, None, 2), (1, "u", "<p>a  b</p>", 1)], "page_id long, url string, html string, text long")
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in main_text.extract(rows).collect() if r.page_id == 1)
@@ -118,6 +150,15 @@ def test_chat_parts(spark):
     assert all(r.formatted[a.start:].startswith(f"<{a.kind}>") for a in r.attachments) and r.n_attachment_tokens == 1087
 
 
+def test_chat_parts_of_other_kinds(spark):
+    parts = [("video", None, "v.mp4", 7), ("text", "a", None, 0), (None, "b", "x", None), (None, None, None, None), ("image", None, None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, c array<{chat.PART}>")
+    r = chat.format_conversations(df, content=F.col("c")).first()
+    assert r.formatted == "<turn assistant><other>a<other><other><image></turn>\n"
+    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("video", "v.mp4", 7), ("other", "x", 1), ("other", None, 1), ("image", None, 256)]
+    assert all(r.formatted[a.start:].startswith("<image>" if a.kind == "image" else "<other>") for a in r.attachments)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
