@@ -264,6 +264,62 @@ def test_scores(spark):
     assert lm_score.score(frame(spark, docs).limit(0)).count() == 0
 
 
+def plain_log_probabilities(p, ids):
+    """Log probability of each id of one text: every id in one window, one softmax at a time."""
+    import numpy as np
+    out = []
+    for step in range(1 + max(0, -(-(len(ids) - attention.LENGTH) // attention.STRIDE))):
+        at = step * attention.STRIDE
+        seen = [ids[i - 1] if i else attention.END for i in range(at, min(at + attention.LENGTH, len(ids)))]
+        for j in range(len(out) - at, len(seen)):
+            h = p["E"][seen[: j + 1]]
+            weights = (h @ p["k"]) @ (h[j] @ p["q"]) * attention.WIDTH ** -0.5 + p["near"][j - np.arange(j + 1)]
+            weights = np.exp(weights - weights.max())
+            z = h[j] + (weights / weights.sum()) @ (h @ p["v"])
+            group, member = ids[at + j] % attention.CLASSES, ids[at + j] // attention.CLASSES
+            total = 0.0
+            for logits, picked in ((p["u"] @ z + p["a"], group), (p["w"][group::attention.CLASSES] @ z + p["c"][group::attention.CLASSES], member)):
+                total += logits[picked] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+            out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_scores_of_given_parameters(spark, monkeypatch, scale):
+    """Large parameters have logits whose exponentials do not exist."""
+    import numpy as np
+    import public_tokenizers
+    vector = attention.flat(attention.fresh(9)) * np.float32(3 * scale)
+    vector += np.random.default_rng(1).normal(0, 0.3, len(vector)).astype(np.float32)
+    monkeypatch.setattr(lm_score, "train", lambda *a: vector)
+    draw = random.Random(8)
+    docs = [(i, " ".join(draw.choice(["the", "Cat", "sat", "matting", f"r{i}"]) for _ in range(5 * i % 47))) for i in range(30)]
+    got = {r.doc_id: r.score for r in lm_score.score(frame(spark, docs)).collect()}
+    p = {k: v.astype(np.float64) for k, v in attention.shaped(vector).items()}
+    coder = attention.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    split = {i: t.lower().split() + ["\n"] for i, t in docs}
+    counts = Counter(w for i, t in split.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t in split.items():
+        ids, first, _ = coder.encode([[w.encode() for w in t[:-1]]])
+        logs = np.add.reduceat(plain_log_probabilities(p, ids.tolist()), first)
+        want = sum(math.log10(0.75 * (counts[w] + 0.5) / (total + 0.5 * (distinct + 1)) + 0.25 * math.exp(x)) for w, x in zip(t, logs))
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, eight = ({r.doc_id: r for r in lm_score.score(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one == eight and len(one) == docs.count()
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    rows = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_learns_from_every_id_of_each_training_text():
     import pyarrow as pa
     import public_tokenizers
