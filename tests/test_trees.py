@@ -112,6 +112,35 @@ def test_all_midpoints_against_brute_force(fine, monkeypatch, criterion, limits,
     assert leaf_paths(tree.node_table(forest), ["a", "b", "c", "d"]) == want
 
 
+@pytest.mark.parametrize("limit, batch", [(1 << 20, 1), (150, 60)])
+def test_cells_grown_in_one_task_equal_levels(fine, monkeypatch, limit, batch):
+    """Whole trees, or what is below small cells, in one task: the same nodes to the bit; whole trees need no level of their own."""
+    frame = fine[1].withColumn("fold", F.pmod(F.xxhash64("a"), F.lit(2)).cast("int"))
+    settings = [tree.TreeSetting("gini", True, 1), tree.TreeSetting("entropy", False, 4)]
+    levels = []
+    monkeypatch.setattr(tree, "_best_splits", lambda *a, real=tree._best_splits: levels.append(1) or real(*a))
+
+    def paths():
+        forest = tree.grow_trees(frame, ["a", "b", "c"], ["d"], settings, fold="fold", folds=2, max_depth=5)
+        nodes = {(r["tree"], r["node"]): r.asDict() for r in forest.nodes.collect()}
+        todo, out = [(r, "") for r in nodes.values() if r["depth"] == 0], {}
+        while todo:
+            r, path = todo.pop()
+            out[r["tree"], path] = [r[c] for c in sorted(r) if c not in ("node", "left", "right")]
+            todo += [(nodes[r["tree"], r[s]], path + s[0]) for s in ("left", "right") if r["feature"] is not None]
+        assert len(out) == len(nodes)
+        return out, forest.levels
+
+    monkeypatch.setattr(tree, "LOCAL_CELL", 0)
+    want, deep = paths(), len(levels)
+    levels.clear()
+    monkeypatch.setattr(tree, "LOCAL_CELL", limit)
+    monkeypatch.setattr(tree, "PARTED_CELL", 100)
+    monkeypatch.setattr(tree.subtrees, "BATCH_ROWS", batch)
+    assert paths() == want
+    assert len(levels) == 0 if limit > 500 else 0 < len(levels) < deep
+
+
 def test_a_chain_beyond_64_levels(spark):
     """Every split takes one value off: a tree of 65 levels and more is searched and scored."""
     levels = 66
