@@ -964,12 +964,21 @@ def holdout_evaluation(spark, sf_dir):
 # --- streams --------------------------------------------------------------------------
 
 
+#: Rows of a file of requests; one task deals out and writes each file.
+FILE_ROWS = 500_000
+
+
+def write_requests(requests: DataFrame, path: str, files: int) -> None:
+    """All requests as JSON in ``files`` files, in more where files would get too large."""
+    requests.repartition(max(files, -(-requests.count() // FILE_ROWS))).write.json(path)
+
+
 @query
 def stream_scoring(spark, sf_dir):
     """Requests arrive as JSON files; the drained history equals the batch job."""
     base = scratch_path(spark, "stream-scoring")
     source, target = os.path.join(base, "requests"), os.path.join(base, "history")
-    tables.raw_requests(tables.contacts(spark, sf_dir)).repartition(4).write.json(source)
+    write_requests(tables.raw_requests(tables.contacts(spark, sf_dir)), source, 4)
     streams.stream_scoring(
         spark, source, fixed_model(spark, sf_dir), target, os.path.join(base, "quarantine"),
         os.path.join(base, "checkpoint"), once=True, max_files=2,
@@ -987,7 +996,7 @@ def mixed_history(spark, sf_dir):
     source, target = os.path.join(base, "requests"), os.path.join(base, "history")
     model = fixed_model(spark, sf_dir)
     requests = tables.raw_requests(tables.contacts(spark, sf_dir))
-    requests.repartition(2).write.json(source)
+    write_requests(requests, source, 2)
     jobs.scoring_job(tables.read_requests(spark, source), model, target)
     for name in ("first", "second"):
         streams.stream_scoring(
