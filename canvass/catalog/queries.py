@@ -770,7 +770,8 @@ def evaluation_job(spark, sf_dir):
 
 
 def _train_part(spark, sf_dir) -> tuple[encoding.EncoderModel, DataFrame]:
-    rows = labelled(spark, sf_dir)
+    # Written once: split, encoder and encoding read it seven times, and the view's CASEs would be copied into every indicator.
+    rows = materialize(labelled(spark, sf_dir), "labelled")
     parts = splitting.stratified_split(rows, KEY)
     encoder = encoding.fit_encoder(rows)
     train = encoder.transform(parts.where(F.col("part") == "train"), keep=[KEY, "label"])

@@ -244,3 +244,19 @@ def test_registered_searches_are_full(spark, monkeypatch, name):
     monkeypatch.setattr(jobs, "search_arrays", search)
     with pytest.raises(Reached):
         REGISTRY[name](spark, "/root/testdata/sf0.001")
+
+
+def test_the_training_part_is_encoded_from_written_rows(spark, monkeypatch):
+    """The view's expressions are not repeated in every indicator: what is encoded reads no table of the warehouse."""
+    from canvass.catalog import queries
+
+    read, put = {}, queries.materialize
+
+    def noted(df, label):
+        read[label] = df.inputFiles()
+        return put(df, label)
+
+    monkeypatch.setattr(queries, "materialize", noted)
+    _, train = queries._train_part(spark, "/root/testdata/sf0.001")
+    assert train.count() > 0 and read["train"]
+    assert not [f for f in read["train"] if "/testdata/" in f]
