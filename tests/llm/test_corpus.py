@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canvass.llm import decontaminate, fuzzy_lines, near_dup, recompress, substrings
@@ -195,6 +196,43 @@ def test_similar_lines_in_a_crowd_of_half_similar_ones(spark):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == Counter(deduped(docs))
 
 
+def test_lines_that_only_share_a_key_are_not_compared(spark, monkeypatch):
+    """A sixth of the shingles in common makes shared keys, but few candidates."""
+    draw, letters, asked = random.Random(41), "abcdefghijklmnopqrstuvwxyz", []
+    common = "".join(draw.choice(letters) for _ in range(36))
+    docs = [(k, common + "".join(draw.choice(letters) for _ in range(84))) for k in range(400)]
+    docs += [(400 + k, docs[k][1] + "!") for k in range(20)]
+    link = fuzzy_lines.link
+
+    def counted(members, verify, *others):
+        def seen(pairs):
+            asked.append(pairs.count())
+            return verify(pairs)
+
+        return link(members, seen, *others)
+
+    monkeypatch.setattr(fuzzy_lines, "link", counted)
+    got = fuzzy_lines.dedup_lines(frame(spark, docs))
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == Counter(deduped(docs))
+    assert 20 <= sum(asked) < 200
+
+
+def test_sketches_tell_equal_samples(spark):
+    draw = random.Random(43)
+    rows = []
+    for equal in range(fuzzy_lines.SAMPLES + 1):
+        a = [draw.randrange(-2**63, 2**63) for _ in range(fuzzy_lines.SAMPLES)]
+        same = set(draw.sample(range(fuzzy_lines.SAMPLES), equal))
+        rows.append((equal, a, [x if i in same else x ^ draw.randrange(1, 256) for i, x in enumerate(a)]))
+    both = spark.createDataFrame(rows, "equal int, a array<long>, b array<long>")
+    for side, x in (("a", ""), ("b", "x_")):
+        own = both.select("*", *[F.col(side)[i].alias(f"k{i}") for i in range(fuzzy_lines.SAMPLES)])
+        both = own.select(*both.columns, *[c.alias(x + s) for c, s in zip(fuzzy_lines._sketch(), fuzzy_lines.SKETCH)])
+    least = fuzzy_lines.least_equal(80)
+    assert 8 <= least <= 14
+    assert sorted(r.equal for r in both.where(fuzzy_lines.near_enough(80)).collect()) == list(range(least, fuzzy_lines.SAMPLES + 1))
+
+
 def repeats_removed(texts, size):
     docs = [WORD.findall(t or "") for _, t in texts]
     seen = Counter(tuple(w[k:k + size]) for w in docs for k in range(len(w) - size + 1))
