@@ -217,6 +217,28 @@ def test_lines_that_only_share_a_key_are_not_compared(spark, monkeypatch):
     assert 20 <= sum(asked) < 200
 
 
+def test_lines_meet_under_one_of_their_common_keys(spark, monkeypatch):
+    """However many keys two lines share, one candidate comes of them, and none is lost by that."""
+    draw, letters, seen = random.Random(47), "abcdefghijklmnopqrstuvwxyz", []
+    line = "".join(draw.choice(letters) for _ in range(120))
+    docs = [(k, line[:4 * k] + "#" + line[4 * k + 1:]) for k in range(25)]
+    link = fuzzy_lines.link
+
+    def watched(members, verify, refine, fits, store, admissible, details, *others):
+        own = members.join(details, "id").localCheckpoint()
+        other = own.select(*[F.col(c).alias(f"x_{c}") for c in own.columns])
+        pairs = own.join(other, (F.col("key") == F.col("x_key")) & (F.col("id") < F.col("x_id")))
+        sharing = {(r.id, r.x_id) for r in pairs.where(fuzzy_lines.near_enough(80)).select("id", "x_id").collect()}
+        seen.extend([own.count(), sharing, [(r.id, r.x_id) for r in pairs.where(fits).select("id", "x_id").collect()]])
+        return link(members, verify, refine, fits, store, admissible, details, *others)
+
+    monkeypatch.setattr(fuzzy_lines, "link", watched)
+    assert fuzzy_lines.dedup_lines(frame(spark, docs)).agg(F.sum("n_removed")).first()[0] == len(docs) - 1
+    keyed, sharing, met = seen
+    assert keyed <= 14 * len(docs)
+    assert len(met) == len(set(met)) and set(met) == sharing
+
+
 def test_sketches_tell_equal_samples(spark):
     draw = random.Random(43)
     rows = []
