@@ -348,6 +348,32 @@ def test_each_round_trains_on_all_lessons(monkeypatch):
         assert out.column("weight").to_pylist() == [want]
 
 
+def test_rounds_and_scores_read_no_text(monkeypatch):
+    """Chunks hold subword ids; neither rounds nor scores encode again, and words are told apart by their ids."""
+    import numpy as np
+    import public_tokenizers
+    from types import SimpleNamespace
+    import pyarrow as pa
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids, texts = list(range(20)), [f"The words of text{i} " * 40 for i in range(18)] + ["", None]
+    table = pa.table({"chunk": [0] * 20, "h": ids, "doc_id": ids, "text": texts})
+    packed = lm_score._packed(path)(table)
+    counted, = lm_score._counted(iter(packed.select(["chunk", "learn", "code"]).to_batches()))
+    want = Counter(w for i, t in zip(ids, texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in (t or "").lower().split() + ["\n"])
+    assert sorted(counted.column("n").to_pylist()) == sorted([want[w] for w in {w for t in texts for w in (t or "").lower().split() + ["\n"]}])
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    vector = attention.flat(attention.fresh())
+    raw = pa.table({"chunk": [0], "ids": [ids], "texts": [texts]})
+    train = lambda path, rows: next(lm_score._trained(path, SimpleNamespace(value=vector), 0)(iter(rows.to_batches())))
+    first = train(path, raw)
+    monkeypatch.setattr(attention, "coder", None)
+    assert train(None, packed.select(["chunk", "learn", "sizes", "code"])).equals(first)
+    known = pa.table({"chunk": [0] * counted.num_rows, "word": counted.column("word"), "c": counted.column("n")})
+    got = lm_score._scored(SimpleNamespace(value=vector), 100, 10)(packed, known)
+    assert got.column("doc_id").to_pylist() == ids and got.column("n_tokens").to_pylist() == [len((t or "").split()) + 1 for t in texts]
+    assert np.isfinite(got.column("score").to_numpy()).all()
+
+
 def test_windows_score_each_id_once():
     import numpy as np
     sizes = [1, 2, 15, 16, 17, 28, 29, 100]
