@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,36 @@ def test_cells_grown_in_one_task_equal_levels(fine, monkeypatch, limit, batch):
     assert len(levels) == 0 if limit > 500 else 0 < len(levels) < deep
 
 
+@pytest.mark.parametrize("batch", [1 << 18, 3])
+def test_trees_share_rows_until_they_split_differently(monkeypatch, batch):
+    """All settings together split as each one alone, and take fewer rows in hand than these do."""
+    subtrees, draw = tree.subtrees, np.random.default_rng(5)
+    monkeypatch.setattr(subtrees, "BATCH_ROWS", batch)
+    size, seen, best = 400, [], subtrees._best
+    monkeypatch.setattr(subtrees, "_best", lambda *a: seen.append(len(a[5])) or best(*a))
+    x = np.stack([draw.integers(0, 9, size), np.where(draw.random(size) < 0.1, np.nan, draw.random(size).round(2)), draw.integers(0, 3, size)], 1).astype(float)
+    kind = (draw.random(size) < 0.2 + 0.06 * x[:, 0]) + 2 * (draw.random(size) < 0.1)
+    n = [int((kind == k).sum()) for k in range(4)]
+    fields = [pa.field(f, pa.int64()) for f in subtrees.FIELDS] + [pa.field(f, pa.float64()) for f in subtrees.WEIGHTS] + [pa.field("criterion", pa.string())]
+    tops = [dict(zip(subtrees.FIELDS, (0, 1, 7, 0, 0, None, *n, leaf))) | {"w0": w, "w1": 1.0, "criterion": c} for c in ("gini", "entropy") for w in (1.0, 0.6) for leaf in (1, 2, 4, 8)]
+    tops = [t | {"tree": i} for i, t in enumerate(tops)]
+
+    def splits(tops):
+        count = len(tops)
+        table = pa.table({
+            "cell": np.full(count + size, 7), "part": np.zeros(count + size, int), "top": pa.array(tops + [None] * size, pa.struct(fields)),
+            "kind": pa.array([None] * count + kind.tolist(), pa.int32()), "x": pa.array([None] * count + x.tolist(), pa.list_(pa.float64()))})
+        out = []
+        for level in subtrees._splits_of(table, 2, 2, 60):
+            out += zip(*(level[k].tolist() for k in ("tree", "node", "depth", "column", "value", "l_n0", "l_n1", "l_v0", "l_v1", "n0", "n1", "left", "right")))
+        return sorted(map(str, out))
+
+    together, rows = splits(tops), sum(seen)
+    seen.clear()
+    assert together == sorted(s for t in tops for s in splits([t])) and len(together) > 16 * 20
+    assert rows < 0.7 * sum(seen)
+
+
 def test_a_chain_beyond_64_levels(spark):
     """Every split takes one value off: a tree of 65 levels and more is searched and scored."""
     levels = 66
