@@ -139,6 +139,19 @@ def deduped(texts):
     return out
 
 
+def test_signatures_do_not_depend_on_blocks(spark, monkeypatch):
+    """Lines of any length, whose last block is whole or not, have the same samples with blocks of one shingle and of eight."""
+    lines = ["x", "abcd", "abcde", "ünïcödé \U0001f600 line"] + ["".join(chr(97 + i * k % 26) for i in range(k)) for k in range(6, 40)]
+    texts = spark.createDataFrame([(1, 2, "\n".join(lines))], "__doc long, __text_hash long, __text string")
+
+    def signatures(block):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+        return sorted(map(tuple, fuzzy_lines._signatures(texts).collect()))
+
+    want = signatures(1)
+    assert len(want) == len(set(lines)) and signatures(8) == want and signatures(3) == want
+
+
 def test_lines(spark, texts):
     got = fuzzy_lines.dedup_lines(frame(spark, texts))
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == Counter(deduped(texts))
